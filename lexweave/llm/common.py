@@ -110,3 +110,46 @@ def built(key: tuple, make: Callable):
             _BUILT.clear()
         _BUILT[key] = make()
     return _BUILT[key]
+
+
+class Memory(dict):
+    """Values by key, made on first use, of bounded size: when full, the entries become the old generation and the one before goes.
+
+    Keys longer than LONGEST are made each time. A subclass gives make().
+    """
+
+    LIMIT, LONGEST = 250_000, 64
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def make(self, key: str):
+        raise NotImplementedError
+
+    def put(self, key: str, value) -> None:
+        if len(self) >= self.LIMIT:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.LONGEST:
+            self.put(key, value)
+        return value
+
+
+def by_size(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+    """The texts in order, in lists of at most `most` characters or one text."""
+    out, n = [], 0
+    for text in texts:
+        if out and n + len(text) > most:
+            yield out
+            out, n = [], 0
+        out.append(text)
+        n += len(text)
+    if out:
+        yield out

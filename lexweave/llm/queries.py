@@ -50,3 +50,39 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copi
 
 QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op10_mixing": op10_mixing}
 SQL = {"op5_exact_dedup": OP5_SQL, "op10_mixing": OP10_SQL}
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_files
+
+    path = Scratch(spark, "op6").path("ids")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.checksums(token_files.read(spark, path))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import byte_bpe
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES |= {"op2_token_counts": op2_token_counts, "op6_token_files": op6_token_files, "op9_byte_bpe": op9_byte_bpe}
