@@ -44,25 +44,53 @@ FORMAT = {
 
 
 class WordIds(Memory):
-    """Little-endian 32-bit ids of a word."""
+    """Little-endian 32-bit ids of a word.
+
+    The vocabulary is lower case, so Latin-1 texts (where Python and the library agree on case) are lower-cased before
+    words are looked up, and a comma or full stop after a letter is a match of its own: both spare encoding variants of
+    one word. A special string is found before lower-casing, so texts that may hold one are left as they are.
+    """
+
+    LIMIT = 500_000
 
     def __init__(self, vocabulary: bytes):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
+        self.marks = {c: self.make(c) for c in ",."}
+        self.lower = self.make("Word") == self.make("word")
 
     def make(self, word: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def words(self, text: str) -> list[str]:
+        if self.lower and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
 
     def learn(self, words: set[str]) -> None:
+        """Make the ids of words not known yet, together."""
         new = [w for w in words if w not in self and w not in self.old and len(w) <= self.LONGEST]
-        for word, ids in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.put(word, array("I", ids.ids).tobytes())
+        tailed = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
+        plain = {w for w in new if not (w[-1:] in self.marks and w[-2:-1].isalpha())}
+        plain.update(w[:-1] for w in tailed if w[:-1] not in self and w[:-1] not in self.old)
+        plain = list(plain)
+        made = {}
+        for word, ids in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            made[word] = array("I", ids.ids).tobytes()
+            self.put(word, made[word])
+        for word in tailed:
+            stem = word[:-1]
+            self.put(word, (made[stem] if stem in made else self[stem]) + self.marks[word[-1]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for some in by_size(texts):
-            split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in some]
+        for some in by_size(texts, 1 << 20):
+            split = [self.words(t) for t in some]
             self.learn(set().union(*split))
             out += [b"".join(map(self.__getitem__, words)) for words in split]
         return out
