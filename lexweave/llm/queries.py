@@ -86,3 +86,27 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_token_counts": op2_token_counts, "op6_token_files": op6_token_files, "op9_byte_bpe": op9_byte_bpe}
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")), threshold=0.5)
+
+
+QUERIES |= {"op3_language": op3_language, "op4_toxicity": op4_toxicity, "op8_quality": op8_quality}
