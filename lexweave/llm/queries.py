@@ -110,3 +110,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_language": op3_language, "op4_toxicity": op4_toxicity, "op8_quality": op8_quality}
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprints, hexadecimal, near_dedup
+
+    found = near_dedup(fingerprints(table(spark, sf_dir, "documents"), shingle=3), distance=2)
+    return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES |= {"op7_simhash": op7_simhash}
