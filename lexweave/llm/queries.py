@@ -120,3 +120,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_simhash": op7_simhash}
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+QUERIES |= {"op1_embedding_dedup": op1_embedding_dedup}
