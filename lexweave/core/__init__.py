@@ -1,0 +1 @@
+"""Comparison of two texts in plain Python: no Spark here."""
