@@ -6,8 +6,8 @@ merging their bytes gives those two tokens again. The encoder takes the longest
 before, falls back to the longest shorter prefix token, and steps back where none fits; positions found dead are not
 entered again, so the time is linear in the bytes. Compatibility of two tokens is remembered.
 
-A text is cut before each single space that a character other than white space follows: no match of the pattern spans
-such a place. Ids of short cuts are remembered, so frequent words are encoded once a worker.
+A text is cut before each space that a character other than white space follows: no match of the pattern spans such a
+place. Ids of cuts and of matches are remembered (see lexicon.py), so frequent words are encoded once a worker.
 
 Defined cases: a null text is empty and has no ids. Special strings are ordinary text. Decoding unknown ids raises an
 error. Decoded bytes of an encoded text are its UTF-8 bytes. Texts of any length are encoded whole.
@@ -16,7 +16,6 @@ error. Decoded bytes of an encoded text are its UTF-8 bytes. Texts of any length
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -28,13 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, Scratch, built, map_batches, read_local
-from .token_files import lists
+from .common import Memory, Scratch, built, by_size, map_batches, read_local
+from .lexicon import Lexicon, per_text
+from .token_files import CHUNK, lists
 
-PAIRS = 500_000
-
-_CUT = re.compile(r"(?= \S)")
-_SPACES = re.compile(r" \s| $")
+PAIRS = 200_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -64,7 +61,9 @@ def halves(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
 
 
 class Encoder(Memory):
-    """Little-endian 32-bit ids of a cut of a text (and of a match of the pattern, which is a cut too)."""
+    """Ids of texts; what it remembers itself are little-endian 32-bit ids of matches of the pattern."""
+
+    LIMIT = 100_000
 
     def __init__(self, ranks: dict[bytes, int], made_of: dict[int, tuple[int, int]], pattern: str):
         super().__init__()
@@ -75,6 +74,7 @@ class Encoder(Memory):
         for token, rank in self.reachable.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
+        self.lexicon = Lexicon(self.make)
         self.compatible = lru_cache(PAIRS)(self._compatible)
         self.shorter = lru_cache(PAIRS)(self._shorter)
 
@@ -120,19 +120,41 @@ class Encoder(Memory):
                 token = out.pop()
                 at -= len(self.bytes[token])
 
-    def make(self, text: str) -> bytes:
-        matches = self.pattern.findall(text)
-        if len(matches) > 1:
-            return b"".join(map(self.__getitem__, matches))
-        return b"".join(array("i", self.piece(p.encode())).tobytes() for p in matches)
+    def make(self, cuts: list[bytes]) -> list[bytes]:
+        """Ids of cuts. The matches of the pattern in them are encoded once each, and remembered."""
+        find = self.pattern.findall
+        matches = [find(c.decode("utf-8", "replace")) for c in cuts]
+        table = self.table(set().union(*matches))
+        return [table[m[0]] if len(m) == 1 else b"".join([table[p] for p in m]) for m in matches]
+
+    def make_all(self, matches: list[str]) -> dict[str, bytes]:
+        return {m: array("i", self.piece(m.encode())).tobytes() for m in matches}
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        sizes, chunks = [], []
+        for some in by_size(texts, CHUNK):
+            data = [t.encode("utf-8", "replace") for t in some]
+            buffer = b"".join(data)
+            starts, text_ends = cuts(buffer, np.cumsum([len(d) for d in data]))
+            values, lengths = self.lexicon.look_up(buffer, starts, np.append(starts[1:], len(buffer)))
+            chunks.append(values)
+            sizes.append(per_text(lengths, starts, text_ends))
+        return lists(np.concatenate([np.zeros(0, np.int32), *chunks]), np.concatenate([np.zeros(0, np.int64), *sizes]))
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _SPACES.search(text):
-            return b"".join(map(self.__getitem__, _CUT.split(text)))
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + x] for x in rest])
+
+#: Bytes that may start white space (of ASCII or Unicode); a space before them is no place to cut.
+_MAY_BE_SPACE = np.isin(np.arange(256), [*range(33), 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def cuts(buffer: bytes, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where cuts start: at texts' starts and at spaces before what surely is no white space."""
+    data = np.frombuffer(buffer, np.uint8)
+    inner = np.flatnonzero((data[:-1] == 32) & ~_MAY_BE_SPACE[data[1:]]) if len(data) else np.zeros(0, np.int64)
+    # the last byte of a text and the first of the next are no neighbours
+    firsts = np.concatenate([[0], text_ends[:-1]]).astype(np.int64)
+    inner = inner[~np.isin(inner + 1, firsts)]
+    starts = np.unique(np.concatenate([inner, firsts]))
+    return starts[starts < len(data)], text_ends
 
 
 def _encoder(shared) -> Encoder:
@@ -152,15 +174,17 @@ def tables(spark, ranks_path: str, pattern: str):
     return spark.sparkContext.broadcast(built(("tables", mark, pattern), make))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids: array<int>."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids: array<int>, and the columns named in keep."""
     shared = tables(Scratch(docs.sparkSession, "byte-bpe").spark, ranks_path, pattern)
+    rows = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"), *keep)
+    schema = rows.drop("text").withColumn("ids", F.lit(None).cast("array<int>")).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = _encoder(shared)
-        return pa.record_batch([batch.column(0), lists([encoder.encode(t) for t in batch.column(1).to_pylist()])], names=["doc_id", "ids"])
+        ids = _encoder(shared).encode(batch.column(0).to_pylist())
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*batch.schema.names[1:], "ids"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids array<int>")
+    return map_batches(rows, run, schema)
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

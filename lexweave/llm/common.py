@@ -40,6 +40,8 @@ class Scratch:
         self.spark = importable(spark)
         self.root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        # executors start separate workers for either value, and they would hold two sets of tables: one value for all
+        spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -112,34 +114,39 @@ def built(key: tuple, make: Callable):
     return _BUILT[key]
 
 
-class Memory(dict):
-    """Values by key, made on first use, of bounded size: when full, the entries become the old generation and the one before goes.
+class Memory:
+    """Values by key, of bounded number: when full, the entries become the old generation and the one before goes.
 
-    Keys longer than LONGEST are made each time. A subclass gives make().
+    table() gives the values of a batch's different keys as a small dict, so that the large one is asked once for each.
+    Keys longer than LONGEST are made each time. A subclass gives make() or make_all().
     """
 
     LIMIT, LONGEST = 250_000, 64
 
     def __init__(self):
-        super().__init__()
+        self.young: dict = {}
         self.old: dict = {}
 
-    def make(self, key: str):
+    def make(self, key):
         raise NotImplementedError
 
-    def put(self, key: str, value) -> None:
-        if len(self) >= self.LIMIT:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-    def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= self.LONGEST:
-            self.put(key, value)
-        return value
+    def make_all(self, keys: list) -> dict:
+        return {k: self.make(k) for k in keys}
+
+    def table(self, keys: set) -> dict:
+        missing = keys.difference(self.young)
+        known = keys.difference(missing)
+        out = dict(zip(known, map(self.young.__getitem__, known), strict=True))
+        if missing:
+            again = missing.intersection(self.old)
+            found = dict(zip(again, map(self.old.__getitem__, again), strict=True))
+            found |= self.make_all(list(missing.difference(again)))
+            out |= found
+            longest = self.LONGEST
+            self.young |= found if max(map(len, found)) <= longest else {k: v for k, v in found.items() if len(k) <= longest}
+            if len(self.young) > self.LIMIT:
+                self.old, self.young = self.young, {}
+        return out
 
 
 def by_size(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, Scratch, built, map_batches, read_local
+from .common import Memory, Scratch, built, by_size, map_batches, read_local
 
 MARK = "▁"
 _RUNS = re.compile(r" *[^ ]+| +")
@@ -51,15 +51,23 @@ class Counts(Memory):
             return 1  # a lone mark, where a text ends in a space
         return self.whole.get(piece) or len(self.encode(piece, num_threads=1))
 
-    def of(self, text: str | None) -> int:
+    def split(self, text: str) -> list[str]:
         if not text:
-            return 0
+            return []
         if MARK in text:
             text = text.replace(MARK, " ")  # to the library they are the same character
         if "  " not in text and text[0] != " " and text[-1] != " ":
-            return sum(map(self.__getitem__, text.split(" ")))
+            return text.split(" ")
         # the library puts one mark before the text; elsewhere one space of each run plays that part
-        return sum(self[run if k == 0 else run[1:]] for k, run in enumerate(_RUNS.findall(text)))
+        return [run if k == 0 else run[1:] for k, run in enumerate(_RUNS.findall(text))]
+
+    def of(self, texts: list[str]) -> list[int]:
+        out = []
+        for some in by_size(texts, 1 << 20):
+            split = [self.split(t) for t in some]
+            table = self.table(set().union(*split))
+            out += [sum(map(table.__getitem__, words)) for words in split]
+        return out
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,8 +78,8 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = built(("count", len(shared.value[0]), zlib.crc32(shared.value[0])), lambda: Counts(*shared.value))
-        n = [counts.of(t) for t in batch.column(2).to_pylist()]
+        n = counts.of(batch.column(2).to_pylist())
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(text_col, F.lit("")).alias("text"))
     return map_batches(rows, count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,7 +1,7 @@
 """Token-ID output: Parquet files with a list column of ids, in ascending doc_id order, and their reader.
 
 Encoding. Nothing in the tokenizer crosses white space (it splits on it and drops it), so a text's ids are those of its
-white-space separated words, one after the other; a worker remembers the ids of words, and the library encodes the rest.
+white-space separated words, one after the other; a worker remembers the ids of words (see lexicon.py), and the library encodes the rest.
 
 Files. Rows are dealt by ranges of doc_id and sorted, one file for each range: `part` (the range), `start` (ids of the
 rows before it in its part), n_tokens, ids. The integers of metadata columns are delta encoded, ids dictionary encoded
@@ -15,7 +15,9 @@ hash. A null doc_id comes first. An empty table writes files without rows. Other
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from array import array
 
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Memory, Scratch, built, by_size, map_batches, read_local
+from .common import Scratch, built, by_size, map_batches, read_local
+from .lexicon import Lexicon, per_text
 
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 
@@ -43,71 +46,124 @@ FORMAT = {
 }
 
 
-class WordIds(Memory):
-    """Little-endian 32-bit ids of a word.
+class WordIds:
+    """Ids of texts.
 
-    The vocabulary is lower case, so Latin-1 texts (where Python and the library agree on case) are lower-cased before
-    words are looked up, and a comma or full stop after a letter is a match of its own: both spare encoding variants of
-    one word. A special string is found before lower-casing, so texts that may hold one are left as they are.
+    The vocabulary is lower case, so ASCII letters are lower-cased before words are looked up, and marks after
+    letters are a match of their own: both spare encoding variants of one word. A special string is found before
+    lower-casing, so texts that may hold one are left as they are. New words of letters of Latin-1 go to the library
+    as one text, without the normalisation and splitting that they don't need; each ends with the one token that ends a word.
     """
 
-    LIMIT = 500_000
-
     def __init__(self, vocabulary: bytes):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
-        self.marks = {c: self.make(c) for c in ",."}
-        self.lower = self.make("Word") == self.make("word")
-
-    def make(self, word: str) -> bytes:
+        lean = json.loads(vocabulary)
+        lean |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.lean = Tokenizer.from_str(json.dumps(lean))
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.lower = self._ids("Word") == self._ids("word")
+        self.tails: dict[bytes, bytes] = {}
+        self.lexicon = Lexicon(self.make)
+
+    def _ids(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def words(self, text: str) -> list[str]:
-        if self.lower and "<|" not in text:
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return text.replace("\n", " ").replace("\t", " ").split(" ")
-
-    def learn(self, words: set[str]) -> None:
-        """Make the ids of words not known yet, together."""
-        new = [w for w in words if w not in self and w not in self.old and len(w) <= self.LONGEST]
-        tailed = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
-        plain = {w for w in new if not (w[-1:] in self.marks and w[-2:-1].isalpha())}
-        plain.update(w[:-1] for w in tailed if w[:-1] not in self and w[:-1] not in self.old)
-        plain = list(plain)
-        made = {}
-        for word, ids in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            made[word] = array("I", ids.ids).tobytes()
-            self.put(word, made[word])
-        for word in tailed:
-            stem = word[:-1]
-            self.put(word, (made[stem] if stem in made else self[stem]) + self.marks[word[-1]])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for some in by_size(texts, 1 << 20):
-            split = [self.words(t) for t in some]
-            self.learn(set().union(*split))
-            out += [b"".join(map(self.__getitem__, words)) for words in split]
-        return out
-
-
-def lists(chunks: list[bytes]) -> pa.ListArray:
-    """A list<int32> column from the bytes of its rows."""
-    offsets = np.zeros(len(chunks) + 1, np.int64)
-    np.cumsum([len(c) // 4 for c in chunks], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(chunks), np.int32)))
+    def make(self, words: list[bytes]) -> list[bytes]:
+        stems, tails, rest = [], [], []  # lower-case letters and the marks after them; words of another kind
+        for word in words:
+            if word.isalpha() and self.lower:
+                stems.append(word if word.islower() else word.lower())
+                tails.append(b"")
+                continue
+            stem = word.rstrip(_MARKS)
+            if self.lower and (letters := stem if stem.isalpha() else _latin(stem)):
+                tails.append(word[len(stem) :])
+                stems.append(letters.lower())
+            else:
+                stems.append(None)
+                tails.append(word)
+                rest.append(word.decode("utf-8", "replace"))
+        table = dict.fromkeys(stems)
+        table.pop(None, None)
+        table = dict(zip(table, self._letters(list(table)), strict=True))
+        others = (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        return [next(others) if stem is None else table[stem] + self._tail(tail) if tail else table[stem] for stem, tail in zip(stems, tails, strict=True)]
+
+    def _tail(self, marks: bytes) -> bytes:
+        ids = self.tails.get(marks)
+        if ids is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            ids = self.tails[marks] = self._ids(marks.decode("ascii"))
+        return ids
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        if not words:
+            return []
+        text = b" ".join(words).decode("latin-1").translate(_BYTE_CHARS)
+        ids = np.asarray(self.lean.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(words):
+            return [self._ids(w.decode("utf-8")) for w in words]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> pa.ListArray:
+        """Ids of each text, with end_id after them."""
+        sizes, chunks = [], []
+        for some in by_size(texts, CHUNK):
+            data = [t.encode("utf-8", "replace") for t in some]
+            data = [d if not self.lower or b"<|" in d else d.lower() for d in data]
+            buffer = b"\n".join(data) + b"\n"
+            gap = _GAP[np.frombuffer(buffer, np.uint8)]
+            edge = np.flatnonzero(np.diff(gap, prepend=True))  # a word starts, a word ends, ...
+            starts, ends = edge[::2], edge[1::2]
+            values, lengths = self.lexicon.look_up(buffer, starts, ends)
+            chunks.append(values)
+            sizes.append(per_text(lengths, starts, np.cumsum([len(d) + 1 for d in data])))
+        return lists(np.concatenate([np.zeros(0, np.int32), *chunks]), np.concatenate([np.zeros(0, np.int64), *sizes]), end_id)
+
+
+#: Marks that are neither letters, numbers nor white space.
+_MARKS = string.punctuation.encode()
+
+
+def _latin(stem: bytes) -> bytes | None:
+    """A word of letters of Latin-1 only, in lower case."""
+    try:
+        text = stem.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    if not text.isalpha() or max(text) >= "\u0100":
+        return None
+    text = text.lower()
+    return None if max(text) >= "\u0100" else text.encode()
+
+
+#: Bytes that end a word here; other white space, also of Unicode, is left to the library.
+_GAP = np.isin(np.arange(256), [9, 10, 32])
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)} | {b: b for b in _PRINTABLE} | {32: 32}
+CHUNK = 1 << 20
+
+
+def lists(values: np.ndarray, sizes: np.ndarray, end_id: int | None = None) -> pa.ListArray:
+    """A list<int32> column; end_id, if given, closes each list."""
+    if end_id is not None:
+        values = np.insert(values, np.cumsum(sizes), end_id)
+        sizes = sizes + 1
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
 
 def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 2, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode the texts of docs and write them, in ascending doc_id order, under path."""
     spark = Scratch(docs.sparkSession, "token-files").spark
     shared = spark.sparkContext.broadcast(read_local(vocabulary_path))
-    end = np.asarray([end_id], "<u4").tobytes()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
@@ -116,12 +172,12 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 2, par
         words = _words(shared)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [x + end for x in words.encode(batch.column(1).to_pylist())]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            ids = words.encode(batch.column(1).to_pylist(), end_id)
+            sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
             yield pa.record_batch(
-                [batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(sizes), lists(ids)],
+                [batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(sizes), ids],
                 names=["doc_id", "part", "start", "n_tokens", "ids"],
             )
 
