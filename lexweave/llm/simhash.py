@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_batches
+from .exact_dedup import hit_filter
 from .graph import components
 
 SEED = 42
@@ -124,3 +125,14 @@ def near_dedup(prints: DataFrame, distance: int = 2, segments=SEGMENTS, crowd: i
 
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def survivors(docs: DataFrame, shingle: int = 5, distance: int = 3, segments=((0, 32, 1), (32, 32, 1)), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have the smallest doc_id of their group; of rows that repeat that id, all with the first one's fingerprint."""
+    found = near_dedup(fingerprints(docs, shingle, id_col, text_col), distance, segments)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = Scratch(docs.sparkSession, "simhash").keep(gone, "gone")
+    # a filter over the ids that go spares the other documents the shuffle
+    may_go = F.coalesce(hit_filter(gone, F.col("__gone"), gone.count())(F.col(id_col).cast("long")), F.lit(False))
+    rest = docs.filter(may_go).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return docs.filter(~may_go).unionByName(rest)
