@@ -255,10 +255,12 @@ def half_match(spark, sf_dir):
     f"""WITH p AS (SELECT conv_id, turn, {LINES.format('text')} AS l FROM conversations),
     q AS (SELECT p.conv_id, p.turn, p.l AS la, n.l AS lb, list_concat(p.l, n.l) AS xs FROM p JOIN p n ON n.conv_id = p.conv_id AND n.turn = p.turn + 1),
     u AS (SELECT *, [x FOR x, k IN xs IF list_position(xs, x) = k] AS d FROM q)
-    SELECT conv_id, turn, [list_position(d, x)::INT FOR x IN la] AS codes1, [list_position(d, x)::INT FOR x IN lb] AS codes2, list_prepend('', d) AS lines FROM u"""
+    SELECT conv_id, turn, array_to_string([list_position(d, x)::INT FOR x IN la], ',') AS codes1, array_to_string([list_position(d, x)::INT FOR x IN lb], ',') AS codes2, array_to_string(list_prepend('', d), '|') AS lines FROM u"""
 )
 def line_dictionary(spark, sf_dir):
-    return turns(spark, sf_dir).select("conv_id", "turn", X.line_dictionary(F.col("a"), F.col("b")).alias("x")).select("conv_id", "turn", "x.*")
+    d = turns(spark, sf_dir).select("conv_id", "turn", X.line_dictionary(F.col("a"), F.col("b")).alias("x"))
+    joined = lambda name: F.array_join(F.col(f"x.{name}").cast("array<string>"), ",").alias(name)
+    return d.select("conv_id", "turn", joined("codes1"), joined("codes2"), F.array_join("x.lines", "|").alias("lines"))
 
 
 @query("SELECT t.conv_id, t.turn, t.text AS a, n.text AS b FROM conversations t JOIN conversations n ON n.conv_id = t.conv_id AND n.turn = t.turn + 1")
