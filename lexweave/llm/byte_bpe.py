@@ -31,7 +31,7 @@ from .common import Memory, Scratch, built, by_size, map_batches, read_local
 from .lexicon import Lexicon, per_text
 from .token_files import CHUNK, lists
 
-PAIRS = 200_000
+PAIRS = 100_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -63,7 +63,7 @@ def halves(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
 class Encoder(Memory):
     """Ids of texts; what it remembers itself are little-endian 32-bit ids of matches of the pattern."""
 
-    LIMIT = 100_000
+    LIMIT = 40_000
 
     def __init__(self, ranks: dict[bytes, int], made_of: dict[int, tuple[int, int]], pattern: str):
         super().__init__()
@@ -74,10 +74,19 @@ class Encoder(Memory):
         for token, rank in self.reachable.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
-        self.lexicon = Lexicon(self.make)
-        self.compatible = lru_cache(PAIRS)(self._compatible)
+        self.lexicon = Lexicon(self.make, 600_000)
+        self.pairs: dict[int, bool] = {}
         self.shorter = lru_cache(PAIRS)(self._shorter)
 
+    def compatible(self, left: int, right: int) -> bool:
+        key = left << 32 | right
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = self.pairs[key] = self._compatible(left, right)
+        return known
+
     def _compatible(self, left: int, right: int) -> bool:
         """Undo the merges of both tokens, latest first, along the seam; a merge over the seam that was due earlier breaks the pair."""
         due = 1 << 60  # merges over the seam of lower rank than this would have come first

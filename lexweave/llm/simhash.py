@@ -17,12 +17,13 @@ a doc_id are grouped each by its own text. Texts are read whole. Other columns a
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_batches
@@ -127,11 +128,115 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def survivors(docs: DataFrame, shingle: int = 5, distance: int = 3, segments=((0, 32, 1), (32, 32, 1)), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that have the smallest doc_id of their group; of rows that repeat that id, all with the first one's fingerprint."""
-    found = near_dedup(fingerprints(docs, shingle, id_col, text_col), distance, segments)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = Scratch(docs.sparkSession, "simhash").keep(gone, "gone")
+# Wide fingerprints: near copies of a given similarity, where 64 bits can't tell them apart
+
+#: 64-bit words of a wide fingerprint, and the recall aimed at for pairs of just the least similarity.
+WIDE_WORDS, RECALL = 8, 0.9
+WIDE_BITS = 64 * WIDE_WORDS
+_SPREAD = np.random.default_rng(97).integers(1, 1 << 63, WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bits_apart(similarity: float) -> float:
+    """The share of bits in which fingerprints of texts of this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def segment_plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a segment, number of segments) for n fingerprints: buckets stay small as n grows, and enough segments agree."""
+    bits = min(48, max(16, math.ceil(math.log2(max(2, n))) + 2))
+    agree = (1 - bits_apart(similarity)) ** bits
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """WIDE_BITS bits of the set of shingles; a bit is 1 if it is set in over half of them."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.fromiter((digest(p, SEED) for p in parts), "<u8", max(1, len(words) - shingle + 1)))
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        h = hashes[at : at + (1 << 12), None] * _SPREAD
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (WIDE_BITS / 8 bytes)."""
+    Scratch(docs.sparkSession, "simhash")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column(0), pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp binary")
+
+
+def _segments(distinct: DataFrame, bits: int, number: int) -> DataFrame:
+    """key, id, sketch: a row for each segment of each fingerprint; a segment is a fixed choice of bits."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        draw, weights = np.random.default_rng(5), 1 << np.arange(bits, dtype=np.int64)
+        n = len(batch)
+        raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
+        one = np.unpackbits(raw, axis=1)
+        keys = np.empty((number, n), np.int64)
+        for k in range(number):
+            keys[k] = one[:, draw.permutation(WIDE_BITS)[:bits]].astype(np.int64) @ weights
+        keys += np.arange(number, dtype=np.int64)[:, None] << 48
+        sketch = raw[:, :8].copy().view("<i8").ravel()
+        ids = batch.column(0).to_numpy()
+        return pa.record_batch([pa.array(keys.ravel()), pa.array(np.tile(ids, number)), pa.array(np.tile(sketch, number))], names=["key", "id", "sketch"])
+
+    return map_batches(distinct.select("id", "fp"), run, "key long, id long, sketch long")
+
+
+def wide_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b), a < b: pairs of ids whose fingerprints differ in no more bits than texts of this similarity do.
+
+    In a bucket each row is compared with its neighbour in the order of sketches (a fingerprint's first 64 bits) and with the first and
+    the last row: a few pairs a row, however large the bucket. Members of a large group share many buckets, in each of which
+    other rows come first, last or next, so groups come out whole without listing their pairs. The sketches must be close (by four
+    standard deviations) before whole fingerprints are joined and compared.
+    """
+    scratch = Scratch(distinct.sparkSession, "simhash-wide")
+    share = bits_apart(similarity)
+    near = math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
+    bits, number = segment_plan(distinct.count(), similarity)
+    bucket = Window.partitionBy("key").orderBy(F.col("sketch").bitwiseXOR(F.xxhash64("key")), "id")
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mine = F.struct("id", "sketch")
+    rows = _segments(distinct, bits, number).repartition("key")
+    rows = rows.withColumns({"n": F.lag(mine).over(bucket), "f": F.first(mine).over(whole), "l": F.last(mine).over(whole)})
+    rows = rows.select("id", "sketch", F.explode(F.array("n", "f", "l")).alias("o")).filter("o is not null and o.id != id")
+    rows = rows.filter(F.bit_count(F.col("sketch").bitwiseXOR(F.col("o.sketch"))) <= near)
+    pairs = scratch.keep(rows.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct(), "candidates")
+    both = pairs.join(distinct.select(F.col("id").alias("a"), F.col("fp").alias("fp_a")), "a").join(distinct.select(F.col("id").alias("b"), F.col("fp").alias("fp_b")), "b")
+
+    def apart(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (2, 3))
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int32))], names=["a", "b", "bits"])
+
+    return map_batches(both.select("a", "b", "fp_a", "fp_b"), apart, "a long, b long, bits int").filter(F.col("bits") <= round(WIDE_BITS * share)).select("a", "b")
+
+
+def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the smallest of its group of near copies.
+
+    Rows without a doc_id stay, as they can't be told apart. Rows that share a doc_id stay or go together.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.keep(wide_fingerprints(docs, shingle, id_col, text_col).filter("doc_id is not null"), "prints")
+    groups = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+    ids = groups.select("id", "fp")
+    found = components(wide_links(ids, similarity))
+    classes = groups.join(found, groups["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    gone = prints.join(classes, "fp").filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = scratch.keep(gone, "gone")
     # a filter over the ids that go spares the other documents the shuffle
     may_go = F.coalesce(hit_filter(gone, F.col("__gone"), gone.count())(F.col(id_col).cast("long")), F.lit(False))
     rest = docs.filter(may_go).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
