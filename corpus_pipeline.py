@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and whether the decoded ids are the text again."""
     ranks = public_tokenizers.path(RANKS)
     marked = docs.withColumn("__text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    coded = byte_bpe.decode(byte_bpe.encode(marked, ranks, public_tokenizers.PATTERN, keep=("source", "__text_sha256")), ranks)
+    coded = byte_bpe.encode(marked, ranks, public_tokenizers.PATTERN, keep=("source", "__text_sha256"), decoded=True)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("__text_sha256")).alias("round_trip"))
 
 

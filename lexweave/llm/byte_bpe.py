@@ -183,30 +183,38 @@ def tables(spark, ranks_path: str, pattern: str):
     return spark.sparkContext.broadcast(built(("tables", mark, pattern), make))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ids: array<int>, and the columns named in keep."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """doc_id, the columns named in keep, and ids: array<int>; with decoded also the bytes that the ids decode to, in the same pass."""
     shared = tables(Scratch(docs.sparkSession, "byte-bpe").spark, ranks_path, pattern)
-    rows = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"), *keep)
-    schema = rows.drop("text").withColumn("ids", F.lit(None).cast("array<int>")).schema
+    rows = docs.select(F.coalesce(text_col, F.lit("")).alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *keep)
+    schema = rows.drop("__text").withColumn("ids", F.lit(None).cast("array<int>"))
+    schema = (schema.withColumn("decoded", F.lit(None).cast("binary")) if decoded else schema).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = _encoder(shared).encode(batch.column(0).to_pylist())
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*batch.schema.names[1:], "ids"])
+        encoder = _encoder(shared)
+        ids = encoder.encode(batch.column(0).to_pylist())
+        more = [ids, pa.array(_decoded(ids, encoder.bytes), pa.binary())] if decoded else [ids]
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], *more], names=[*batch.schema.names[1:], "ids", "decoded"][: len(schema)])
 
     return map_batches(rows, run, schema)
 
 
+def _decoded(ids: pa.ListArray, tokens: dict[int, bytes]) -> list[bytes | None]:
+    values, offsets, null = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+    return [None if n else b"".join(map(tokens.__getitem__, values[a:b].tolist())) for a, b, n in zip(offsets[:-1], offsets[1:], null, strict=True)]
+
+
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with the bytes of their ids as a binary column; null ids give null."""
     spark = Scratch(rows.sparkSession, "byte-bpe").spark
     data = read_local(ranks_path)
     mark = (len(data), zlib.crc32(data))
     shared = spark.sparkContext.broadcast((data, mark))
-    schema = rows.withColumn(out, F.lit(b"")).schema
+    schema = rows.withColumn(out, F.lit(None).cast("binary")).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = built(("decode", shared.value[1]), lambda: {r: t for t, r in load_ranks(shared.value[0]).items()})
-        decoded = [None if ids is None else b"".join(map(tokens.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids)) for ids in _arrays(batch.column(batch.schema.get_field_index(ids_col)))]
+        decoded = _decoded(batch.column(batch.schema.get_field_index(ids_col)), tokens)
         columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != out]
         names = [name for name in batch.schema.names if name != out]
         at = schema.names.index(out)
@@ -216,8 +224,3 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "d
 
     return map_batches(rows, run, schema)
 
-
-def _arrays(column: pa.ListArray):
-    values, offsets, null = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
-    for k in range(len(column)):
-        yield None if null[k] else values[offsets[k] : offsets[k + 1]]

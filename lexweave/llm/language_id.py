@@ -35,10 +35,10 @@ def _letters() -> np.ndarray:
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, document) of each n-gram, in no special order of n-grams but by document for each order."""
     letters = built(("letters",), _letters)
-    joined = "  ".join(lower := [t.lower() for t in texts])
+    joined = "  ".join(["", *(lower := [t.lower() for t in texts]), ""])  # two spaces on either side of each
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.array([len(t) + 2 for t in lower])
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[: len(codes)]
+    doc = np.concatenate([np.zeros(2, np.int32), np.repeat(np.arange(len(texts), dtype=np.int32), sizes)])
     is_letter = letters[codes]
     symbol = np.where(is_letter, codes, 32).astype(np.uint64)
     buckets, docs = [], []
