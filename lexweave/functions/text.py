@@ -21,16 +21,12 @@ def lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def _chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix."""
-    n = F.least(F.length(a), F.length(b))
+    n = F.when(a.isNotNull() & b.isNotNull(), F.least(F.length(a), F.length(b)))
     same = F.transform(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda p: p["x"].eqNullSafe(p["y"]))
     first = F.array_position(same, False)
-    return F.when(n == 0, 0).otherwise(F.least(n, F.when(first > 0, first - 1).otherwise(n))).cast("int")
+    return F.when(n == 0, 0).when(n > 0, F.least(n, F.when(first > 0, first - 1).otherwise(n))).cast("int")
 
 
 def common_suffix(a: Column, b: Column) -> Column:
@@ -39,9 +35,9 @@ def common_suffix(a: Column, b: Column) -> Column:
 
 def common_overlap(a: Column, b: Column) -> Column:
     """Length of the longest suffix of a that is a prefix of b."""
-    n = F.least(F.length(a), F.length(b))
+    n = F.when(a.isNotNull() & b.isNotNull(), F.least(F.length(a), F.length(b)))
     fits = F.filter(F.sequence(F.lit(1), n), lambda k: F.right(a, k) == F.left(b, k))
-    return F.when(n == 0, 0).otherwise(F.coalesce(F.array_max(fits), F.lit(0))).cast("int")
+    return F.when(n == 0, 0).when(n > 0, F.coalesce(F.array_max(fits), F.lit(0))).cast("int")
 
 
 def line_dictionary(a: Column, b: Column) -> Column:
