@@ -177,3 +177,12 @@ def test_entry_without_the_text_collection_subpackage():
 
     code = "import sys; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nassert set(e.queries()) == set(e.registry.QUERIES) and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), check=True)
+
+
+def test_catalog_data_source(spark):
+    from lexweave.sources import datasource
+
+    datasource.register(spark)
+    df = spark.read.format("license_catalog").load()
+    assert sorted(map(tuple, df.collect())) == sorted(licences.rows())
+    assert spark.read.format("license_catalog").load(str(licences.TEXTS)).count() == 19
