@@ -31,7 +31,7 @@ from .common import Memory, Scratch, built, by_size, map_batches, read_local
 from .lexicon import Lexicon, per_text
 from .token_files import CHUNK, lists
 
-PAIRS = 100_000
+PAIRS = 250_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -63,7 +63,7 @@ def halves(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
 class Encoder(Memory):
     """Ids of texts; what it remembers itself are little-endian 32-bit ids of matches of the pattern."""
 
-    LIMIT = 40_000
+    LIMIT = 120_000
 
     def __init__(self, ranks: dict[bytes, int], made_of: dict[int, tuple[int, int]], pattern: str):
         super().__init__()
@@ -72,9 +72,9 @@ class Encoder(Memory):
         self.reachable = {t: r for t, r in ranks.items() if r in made_of}
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.reachable.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.lexicon = Lexicon(self.make, 600_000)
+        self.lexicon = Lexicon(self.make, 1_000_000)
         self.pairs: dict[int, bool] = {}
         self.shorter = lru_cache(PAIRS)(self._shorter)
 
@@ -111,9 +111,12 @@ class Encoder(Memory):
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
         text, n = data.decode("latin-1"), len(data)
+        longest = [token for _, token in self.automaton.iter_long(text)]
+        if all(map(self.compatible, longest, longest[1:])):
+            return longest  # no step back is needed
         out: list[int] = []
         at, dead = 0, bytearray(n + 1)
-        token = next(self.automaton.iter_long(text))[1][0]
+        token = longest[0]
         while True:
             end = at + len(self.bytes[token])
             if not dead[end] and (not out or self.compatible(out[-1], token)):
@@ -121,7 +124,7 @@ class Encoder(Memory):
                 if end == n:
                     return out
                 at = end
-                token = next(self.automaton.iter_long(text, at))[1][0]
+                token = next(self.automaton.iter_long(text, at))[1]
             elif (less := self.shorter(token)) >= 0:
                 token = less
             else:

@@ -20,10 +20,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     scratch = Scratch(links.sparkSession, "components")
     edges = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct()
     edges = scratch.keep(edges, "links")
-    result = None
+    result = last = None
     while not edges.isEmpty():
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("low")), F.struct(F.col("b").alias("node"), F.col("a").alias("low")))).alias("x")).select("x.*")
-        to = scratch.keep(ends.groupBy("node").agg(F.min("low").alias("low")), "lowest")
+        lowest = to = scratch.keep(ends.groupBy("node").agg(F.min("low").alias("low")), "lowest")
         ahead = to.select(F.col("node").alias("low"), F.col("low").alias("lower"))
         to = scratch.keep(to.join(ahead, "low").select("node", F.col("lower").alias("low")), "pointers")
         moved = edges.join(to.select(F.col("node").alias("a"), F.col("low").alias("to_a")), "a").select("to_a", "b")
@@ -34,6 +34,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         else:
             step = to.select(F.col("node").alias("component"), F.col("low").alias("next"))
             result = result.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-        result = scratch.keep(result, "found")
+        found = scratch.keep(result, "found")
+        scratch.drop(edges, lowest, to, *([last] if last is not None else []))
+        result = last = found
         edges = fewer
     return result if result is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -27,6 +27,14 @@ def calibrates(doc_id: Column) -> Column:
     return F.floor(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) / FOLDS) % 4 == 0
 
 
+def lowest_share(rows: DataFrame, key: str, wanted: int, there: int, seed: int = 11) -> DataFrame:
+    """Rows of low hash, more than `wanted` of `there` (all, if there are few): what a top-k by the same hash must look at."""
+    if there <= 2 * wanted:
+        return rows
+    cut = int((2 * wanted / there) * (1 << 63)) * 2 - (1 << 63)
+    return rows.filter(F.xxhash64(key, F.lit(seed)) < cut)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> tuple[DataFrame, dict[int, int]]:
     """(text, y, calibrates) of at most per_class labelled rows of either class, and how many rows each class has.
 
@@ -38,7 +46,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     counts = {int(y): int(n) for y, n in known.groupBy("__y").count().collect()}
     chosen = None
     for y in (0, 1):
-        some = known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(per_class)
+        some = lowest_share(known.filter(F.col("__y") == y), "__id", per_class, counts.get(y, 0), seed).orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(per_class)
         chosen = some if chosen is None else chosen.unionAll(some)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(chosen), "__id").select("text", F.col("__y").alias("y"), calibrates(F.col("__id")).alias("calibrates"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_batches
-from .learning import class_weights, held_out, labelled_sample, logistic, probability
+from .learning import class_weights, held_out, labelled_sample, logistic, lowest_share, probability
 
 FIT_ROWS = 20_000
 BLOCK, BLOCKS, TRAIN_BLOCKS = 2048, 8, 4000
@@ -61,7 +61,9 @@ def _train(sample: DataFrame, y: int) -> bytes | None:
         return pa.record_batch([pa.array(out, pa.binary())], names=["block"])
 
     rows = map_batches(sample.filter((F.col("y") == y) & ~F.col("calibrates")).select("text"), cut, "block binary").distinct()
-    data = [bytes(r[0]) for r in rows.orderBy(F.xxhash64("block"), "block").limit(TRAIN_BLOCKS).collect()]
+    rows = Scratch(sample.sparkSession, "quality").keep(rows, "blocks")
+    rows = lowest_share(rows, "block", TRAIN_BLOCKS, rows.count())
+    data = [bytes(r[0]) for r in rows.orderBy(F.xxhash64("block", F.lit(11)), "block").limit(TRAIN_BLOCKS).collect()]
     if not data:
         return None
     try:
