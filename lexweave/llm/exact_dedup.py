@@ -4,9 +4,10 @@ Writing. Each input partition is a memtable: its (digest, doc_id) rows are sorte
 as a run (a Parquet file with a Bloom filter and min/max statistics on the digest). Compaction merges all runs to one
 level sorted by digest, with the smallest identifier and the number of rows of each digest.
 
-Reading. A Bloom filter of the digests that occur more than once is probed for every document; only hits travel
-with their text, to be compared byte for byte with the text of the row that stays. A hit that differs (a digest
-collision) leaves the digest's group and is grouped by its text instead, so a collision costs time, never a row.
+Reading. Runs are merged with the level; rows of digests that occur more than once are hits. A Bloom filter of their
+ids, probed for every document, lets only hits be read again and travel with their text, to be compared byte for byte with the text of
+the row that stays. A hit that differs (a digest collision) leaves the digest's group and is grouped by its text
+instead, so a collision costs time, never a row.
 
 Defined cases: a null text counts as empty. Of rows equal in text and doc_id the first one read stays. A null doc_id
 sorts after all others. An empty table gives an empty result. Other columns, whatever their names, are not read.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, heavy_keys, salted_join
 
-#: Bits of the hit filter for each repeated digest, and the most bits it may have (8 MB, broadcast as a constant).
+#: Bits of the hit filter for each hit, and the most bits it may have (8 MB, broadcast as a constant).
 FILTER_BITS_PER_KEY, FILTER_MAX_BITS = 16, 1 << 26
 
 
@@ -100,34 +101,37 @@ class ExactDedup:
         self.index = ExactIndex(docs.sparkSession, digest_bytes)
         self.index.flush(docs, id_col, text_col)
         level = self.index.compact()
-        self.repeated = level.filter("n > 1")
-        total, n = level.agg(F.sum("n"), F.count(F.when(F.col("n") > 1, 1))).first()
-        self.heavy = heavy_keys(level, ["digest"], "n", total or 0)
-        self.is_hit = hit_filter(self.repeated, F.col("digest"), n)
-        self.is_keeper = hit_filter(self.repeated, F.coalesce(F.col("keep.doc_id"), F.lit(-1)), n)
+        total = level.agg(F.sum("n")).first()[0] or 0
+        self.heavy = heavy_keys(level, ["digest"], "n", total)
+        #: Each row of the table with its digest's entry.
+        self.placed = self.index.scratch.keep(salted_join(self.index.rows(), level, ["digest"], self.heavy), "placed")
         self.collided = self.index.scratch.keep(self._differing().select("digest").distinct(), "collided")
         self.collisions = not self.collided.isEmpty()
 
     def _texts(self, docs: DataFrame) -> DataFrame:
-        index = self.index
         rows = docs.select(self.id.alias("doc_id"), normalised(self.text).alias("norm")).withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
-        return rows.withColumn("digest", index.key())
+        return rows.withColumn("digest", self.index.key())
+
+    def _may_be(self, ids: DataFrame) -> Column:
+        """Whether a document's id may be among those in ids (column doc_id); a missing id always may."""
+        return F.coalesce(hit_filter(ids, F.col("doc_id"), ids.count())(self.id), F.lit(True))
 
     def _differing(self) -> DataFrame:
-        """Hits whose bytes differ from those of the row that stays."""
-        kept = self._texts(self.docs.filter(self.is_keeper(F.coalesce(self.id, F.lit(-1))))).filter(self.is_hit(F.col("digest")))
-        keys = self.repeated.select("digest", F.col("keep.doc_id").alias("keep_id"))
+        """Hits whose bytes differ from those of the row that stays. Only documents that may be hits are read again in full."""
+        hits = self.placed.filter("n > 1")
+        keys = self.index.level.filter("n > 1").select("digest", F.col("keep.doc_id").alias("keep_id"))
+        kept = self._texts(self.docs.filter(self._may_be(keys.select(F.col("keep_id").alias("doc_id")))))
         kept = kept.join(keys, (kept.digest == keys.digest) & kept.doc_id.eqNullSafe(keys.keep_id)).select(kept.digest, F.col("norm").alias("keep_norm"))
         kept = kept.groupBy("digest").agg(F.min("keep_norm").alias("keep_norm"))
-        hits = self._texts(self.docs).filter(self.is_hit(F.col("digest")))
-        return salted_join(hits, kept, ["digest"], self.heavy).filter(F.col("norm") != F.col("keep_norm"))
+        texts = self._texts(self.docs.filter(self._may_be(hits.select("doc_id"))))
+        return salted_join(texts, kept, ["digest"], self.heavy).filter(F.col("norm") != F.col("keep_norm"))
 
     def result(self) -> DataFrame:
         """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of the table."""
-        rows, level = self.index.rows(), self.index.level
+        rows = self.placed
         if self.collisions:
-            rows = rows.join(F.broadcast(self.collided) if self.collided.count() <= 1000 else self.collided, "digest", "left_anti")
-        out = salted_join(rows, level, ["digest"], self.heavy).select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+            rows = rows.join(self.collided, "digest", "left_anti")
+        out = rows.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
         return out.unionByName(self._by_text()) if self.collisions else out
 
     def _by_text(self) -> DataFrame:
@@ -138,14 +142,13 @@ class ExactDedup:
         return rows.join(groups, "norm").select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
     def survivors(self) -> DataFrame:
-        """The table's rows that stay, with all their columns. Documents that are no hit never move."""
-        marks = self.docs.withColumns({"__sha": self.index.digest(self.text), "__id": self.id})
-        key = F.substring("__sha", 1, self.index.digest_bytes)
-        alone = marks.filter(~self.is_hit(key))
-        kept = self.result().filter("kept").select(F.col("doc_id").alias("__keep"), F.unhex("text_sha256").alias("__keep_sha"))
-        hits = marks.filter(self.is_hit(key))
-        stay = hits.join(kept, hits["__id"].eqNullSafe(kept["__keep"]) & (hits["__sha"] == kept["__keep_sha"]), "left_semi")
-        return alone.unionByName(stay.dropDuplicates(["__id", "__sha"])).drop("__sha", "__id")
+        """The table's rows that stay, with all their columns. Documents whose id surely stays are passed on as they are."""
+        result = self.index.scratch.keep(self.result().select("doc_id", "kept", "text_sha256"), "result")
+        may_go = self._may_be(result.filter("not kept").select("doc_id").distinct())
+        kept = result.filter("kept").select(F.col("doc_id").alias("__keep"), F.unhex("text_sha256").alias("__keep_sha"))
+        rest = self.docs.filter(may_go).withColumns({"__sha": self.index.digest(self.text), "__id": self.id})
+        stay = rest.join(kept, rest["__id"].eqNullSafe(kept["__keep"]) & (rest["__sha"] == kept["__keep_sha"]), "left_semi")
+        return self.docs.filter(~may_go).unionByName(stay.dropDuplicates(["__id", "__sha"]).drop("__sha", "__id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
