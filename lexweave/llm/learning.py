@@ -53,7 +53,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return rows, counts
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Weights of 1 and each (scaled) column, by Newton steps; folded back to unscaled columns."""
     mean, scale = np.average(x, axis=0, weights=weight), x.std(axis=0) + 1e-9
     a = np.column_stack([np.ones(len(x)), (x - mean) / scale])
