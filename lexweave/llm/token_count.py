@@ -4,7 +4,7 @@ The proof, made once on the driver (`proven`): (1) no piece has a space mark aft
 crosses the start of a run of spaces, and a text's count is the sum over its pre-tokens (a run of spaces with the word
 after it); (2) normalisation is the identity but for the mark put before the text; (3) a vocabulary string is a whole
 token if the library encodes it, alone, as exactly one id. Executors count pre-tokens that are whole tokens as 1 and
-merge only the rest, each distinct one once for as long as it is remembered.
+merge only the rest, each distinct one once for as long as it is remembered (see lexicon.py).
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens. Special strings in a text are ordinary text, as the library
 takes them. Texts of any length are read whole. Rows that repeat are counted each; other columns are not read.
@@ -12,18 +12,18 @@ takes them. Texts of any length are read whole. Rows that repeat are counted eac
 
 from __future__ import annotations
 
-import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, Scratch, built, by_size, map_batches, read_local
+from .common import Scratch, built, by_size, map_batches, read_local
+from .lexicon import Lexicon, per_text
 
 MARK = "▁"
-_RUNS = re.compile(r" *[^ ]+| +")
 
 
 def proven(model: bytes) -> list[str]:
@@ -38,35 +38,35 @@ def proven(model: bytes) -> list[str]:
     return [w for w, ids in zip(words, sp.encode(words, num_threads=1), strict=True) if len(ids) == 1]
 
 
-class Counts(Memory):
-    """Tokens of a pre-token, given without the one space (or text start) that stands before it."""
+class Counts:
+    """Tokens of texts."""
 
     def __init__(self, model: bytes, whole: list[str]):
-        super().__init__()
-        self.whole = dict.fromkeys(whole, 1)
+        self.whole = {w.encode(): b"\x01\0\0\0" for w in whole}
         self.encode = sentencepiece.SentencePieceProcessor(model_proto=model).encode
+        self.lexicon = Lexicon(self.make)
 
-    def make(self, piece: str) -> int:
-        if not piece:
-            return 1  # a lone mark, where a text ends in a space
-        return self.whole.get(piece) or len(self.encode(piece, num_threads=1))
-
-    def split(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if MARK in text:
-            text = text.replace(MARK, " ")  # to the library they are the same character
-        if "  " not in text and text[0] != " " and text[-1] != " ":
-            return text.split(" ")
-        # the library puts one mark before the text; elsewhere one space of each run plays that part
-        return [run if k == 0 else run[1:] for k, run in enumerate(_RUNS.findall(text))]
+    def make(self, pieces: list[bytes]) -> list[bytes]:
+        """The count of each pre-token, given without the one mark (or text start) that stands before it, as an integer's bytes."""
+        rest = [p for p in pieces if p and p not in self.whole]
+        counts = {b"": b"\x01\0\0\0"}  # a lone mark, where a text ends in a space
+        for piece, ids in zip(rest, self.encode([p.decode("utf-8", "replace") for p in rest], num_threads=1), strict=True):
+            counts[piece] = len(ids).to_bytes(4, "little")
+        return [self.whole.get(p) or counts[p] for p in pieces]
 
     def of(self, texts: list[str]) -> list[int]:
         out = []
         for some in by_size(texts, 1 << 20):
-            split = [self.split(t) for t in some]
-            table = self.table(set().union(*split))
-            out += [sum(map(table.__getitem__, words)) for words in split]
+            # the library puts one mark before a text; to it the mark and a space are the same character
+            data = [b" " + t.replace(MARK, " ").encode("utf-8", "replace") if t else b"" for t in some]
+            buffer = b"".join(data)
+            ends = np.cumsum([len(d) for d in data])
+            spaces = np.flatnonzero(np.frombuffer(buffer, np.uint8) == 32)
+            first = np.diff(spaces, prepend=-2) > 1
+            first |= np.isin(spaces, ends)  # a text's first mark, whatever the text before ends in
+            runs = spaces[first]
+            values, _ = self.lexicon.look_up(buffer, runs + 1, np.append(runs[1:], len(buffer)))
+            out += per_text(values, runs, ends).tolist()
         return out
 
 
