@@ -45,17 +45,23 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_ranking(spark, sf_dir)
 
 
+def joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """left join right, dealt by the keys to all tasks of a shuffle: what follows costs far more than its rows' bytes tell."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(n, *keys).join(right.repartition(n, *keys), list(keys))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     after = p.select((F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("b"))
-    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a")).join(after, "id")
+    return joined(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a")), after, "id")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of longer texts: each turn of a conversation and the next."""
     t = table(spark, sf_dir, "conversations")
     after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
-    return t.select("conv_id", "turn", F.col("text").alias("a")).join(after, ["conv_id", "turn"])
+    return joined(t.select("conv_id", "turn", F.col("text").alias("a")), after, "conv_id", "turn")
 
 
 def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
