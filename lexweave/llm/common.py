@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,50 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a block in which all pairs are compared.
+BLOCK = 2048
+
+
+def block_pairs(rows: DataFrame, key: str, n: str, id_col: str = "id") -> DataFrame:
+    """rows with lo, hi and mine: any two rows of a key (n: its number of rows) meet in just one (key, lo, hi), where a row's block is mine.
+
+    Where lo and hi differ, only rows of different blocks are to be compared. Sorted by key, lo, hi in partitions; large keys are dealt to many.
+    """
+    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64(id_col), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other", n)
+    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Sorted batches put together so that no group is cut, each with the places where groups start and the end."""
+    held: list[pa.RecordBatch] = []
+
+    def cuts(batch: pa.RecordBatch) -> list[int]:
+        change = np.zeros(max(0, len(batch) - 1), bool)
+        for k in keys:
+            x = batch.column(k).to_numpy()
+            change |= x[1:] != x[:-1]
+        return [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and any(held[0].column(k)[0] != batch.column(k)[-1] for k in keys):
+            batch = pa.concat_batches([*held, batch])
+            held = []
+        elif held:
+            held.append(batch)
+            continue
+        at = cuts(batch)
+        if len(at) > 2:
+            yield batch.slice(0, at[-2]), at[:-1]
+        held = [batch.slice(at[-2])]
+    if held:
+        batch = pa.concat_batches(held)
+        yield batch, [0, len(batch)]
+
+
 def read_local(path: str) -> bytes:
     """A vocabulary file, read on the driver; its bytes are broadcast, as executors may not have the path."""
     with open(path, "rb") as f:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches
+from .common import Scratch, block_pairs, map_batches, whole_groups
 from .exact_dedup import hit_filter
 from .graph import components
 
@@ -176,8 +176,8 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id",
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp binary")
 
 
-def _segments(distinct: DataFrame, bits: int, number: int) -> DataFrame:
-    """key, id, sketch: a row for each segment of each fingerprint; a segment is a fixed choice of bits."""
+def _segments(distinct: DataFrame, bits: int, number: int, last: str | None = None) -> DataFrame:
+    """key, id, sketch (or the column last): a row for each segment of each fingerprint; a segment is a fixed choice of bits."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         draw, weights = np.random.default_rng(5), 1 << np.arange(bits, dtype=np.int64)
@@ -188,25 +188,25 @@ def _segments(distinct: DataFrame, bits: int, number: int) -> DataFrame:
         for k in range(number):
             keys[k] = one[:, draw.permutation(WIDE_BITS)[:bits]].astype(np.int64) @ weights
         keys += np.arange(number, dtype=np.int64)[:, None] << 48
-        sketch = raw[:, :8].copy().view("<i8").ravel()
+        third = batch.column(2).to_numpy() if last else raw[:, :8].copy().view("<i8").ravel()
         ids = batch.column(0).to_numpy()
-        return pa.record_batch([pa.array(keys.ravel()), pa.array(np.tile(ids, number)), pa.array(np.tile(sketch, number))], names=["key", "id", "sketch"])
+        return pa.record_batch([pa.array(keys.ravel()), pa.array(np.tile(ids, number)), pa.array(np.tile(third, number))], names=["key", "id", last or "sketch"])
 
-    return map_batches(distinct.select("id", "fp"), run, "key long, id long, sketch long")
+    return map_batches(distinct.select("id", "fp", *([last] if last else [])), run, f"key long, id long, {last or 'sketch'} long")
 
 
-def wide_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(a, b), a < b: pairs of ids whose fingerprints differ in no more bits than texts of this similarity do.
+def _apart(similarity: float) -> int:
+    """Bits in which fingerprints of texts of this similarity differ at most, by the mean."""
+    return round(WIDE_BITS * bits_apart(similarity))
+
+
+def _chain_pairs(distinct: DataFrame, similarity: float, bits: int, number: int, scratch: Scratch) -> DataFrame:
+    """(a, b): of each bucket neighbours in the order of sketches (a fingerprint's first 64 bits), and all rows with the first and the last.
 
-    In a bucket each row is compared with its neighbour in the order of sketches (a fingerprint's first 64 bits) and with the first and
-    the last row: a few pairs a row, however large the bucket. Members of a large group share many buckets, in each of which
-    other rows come first, last or next, so groups come out whole without listing their pairs. The sketches must be close (by four
-    standard deviations) before whole fingerprints are joined and compared.
+    A few pairs a row, however large the bucket: they join most of a large group, so that its pairs need not be listed later.
     """
-    scratch = Scratch(distinct.sparkSession, "simhash-wide")
     share = bits_apart(similarity)
     near = math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
-    bits, number = segment_plan(distinct.count(), similarity)
     bucket = Window.partitionBy("key").orderBy(F.col("sketch").bitwiseXOR(F.xxhash64("key")), "id")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     mine = F.struct("id", "sketch")
@@ -216,12 +216,58 @@ def wide_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
     rows = rows.filter(F.bit_count(F.col("sketch").bitwiseXOR(F.col("o.sketch"))) <= near)
     pairs = scratch.keep(rows.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct(), "candidates")
     both = pairs.join(distinct.select(F.col("id").alias("a"), F.col("fp").alias("fp_a")), "a").join(distinct.select(F.col("id").alias("b"), F.col("fp").alias("fp_b")), "b")
+    most = _apart(similarity)
 
     def apart(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (2, 3))
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int32))], names=["a", "b", "bits"])
 
-    return map_batches(both.select("a", "b", "fp_a", "fp_b"), apart, "a long, b long, bits int").filter(F.col("bits") <= round(WIDE_BITS * share)).select("a", "b")
+    return map_batches(both.select("a", "b", "fp_a", "fp_b"), apart, "a long, b long, bits int").filter(F.col("bits") <= most).select("a", "b").distinct()
+
+
+def _all_pairs(distinct: DataFrame, classes: DataFrame, similarity: float, bits: int, number: int, scratch: Scratch) -> DataFrame:
+    """(a, b): all pairs of a shared bucket that classes (node, component) do not join yet and whose fingerprints are close."""
+    most = _apart(similarity)
+    nodes = distinct.join(classes, distinct["id"] == classes["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("part"))
+    nodes = scratch.keep(nodes, "nodes")
+    bucket = Window.partitionBy("key")
+    rows = _segments(nodes, bits, number, "part").repartition("key")
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min("part").over(bucket), "high": F.max("part").over(bucket)})
+    rows = rows.filter("low < high").select("key", "id", "part", "n").join(distinct.select("id", "fp").distinct(), "id")
+    rows = block_pairs(rows, "key", "n").select("key", "lo", "hi", "mine", "id", "part", "fp")
+
+    def run(batches):
+        for batch, at in whole_groups(batches, ("key", "lo", "hi")):
+            ids, part, mine = (batch.column(k).to_numpy() for k in ("id", "part", "mine"))
+            cross = batch.column("lo").to_numpy() != batch.column("hi").to_numpy()
+            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(len(batch), -1)
+            end = np.repeat(at[1:], np.diff(at))
+            first, step = np.arange(len(batch)), 0
+            while True:  # each row with the one `step` places on, for all groups at once
+                step += 1
+                first = first[first + step < end[first]]
+                if not len(first):
+                    break
+                i = first[(part[first] != part[first + step]) & (~cross[first] | (mine[first] != mine[first + step]))]
+                i = i[np.bitwise_count(fps[i, 0] ^ fps[i + step, 0]) <= most]
+                i = i[np.bitwise_count(fps[i] ^ fps[i + step]).sum(1, dtype=np.int32) <= most]
+                if len(i):
+                    yield pa.record_batch([pa.array(np.minimum(ids[i], ids[i + step])), pa.array(np.maximum(ids[i], ids[i + step]))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def wide_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b), a < b: links that join all pairs of ids in a shared bucket whose fingerprints differ in no more bits than texts of this similarity do.
+
+    First a few pairs of each row of a bucket; then every other pair of a bucket, except where the first links have joined the two
+    already: only the groups matter. Crowded buckets are compared block by block, dealt to many tasks.
+    """
+    scratch = Scratch(distinct.sparkSession, "simhash-wide")
+    bits, number = segment_plan(distinct.count(), similarity)
+    some = scratch.keep(_chain_pairs(distinct, similarity, bits, number, scratch), "some")
+    rest = scratch.keep(_all_pairs(distinct, components(some), similarity, bits, number, scratch), "rest")
+    return some.unionAll(rest)
 
 
 def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,10 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.llm import byte_bpe, embedding_dedup, graph, language_id, learning, lexicon, mixing, quality, simhash, token_count, token_files, toxicity
+from lexweave.llm import byte_bpe, common, embedding_dedup, graph, language_id, learning, lexicon, mixing, quality, simhash, token_count, token_files, toxicity
 from lexweave.llm.common import Memory, heavy_keys, salted_join
 from lexweave.llm.exact_dedup import ExactDedup, dedup, hit_filter
 
@@ -387,6 +388,46 @@ def test_near_copies(spark):
     assert simhash.survivors(nulls).count() == 3
 
 
+def test_near_copies_in_a_crowd(spark):
+    """Copies that stand apart in a bucket of similar fingerprints: each pair of a shared bucket is found, blocks or not."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2, simhash.WIDE_BITS)
+    flip = lambda bits, n: bits ^ np.isin(np.arange(simhash.WIDE_BITS), draw.choice(simhash.WIDE_BITS, n, replace=False))
+    crowd = [flip(base, 72) for _ in range(3000)]  # 24 % of the bits differ between two
+    rows = [np.packbits(x).tobytes() for x in crowd]
+    rows += [np.packbits(flip(x, 70)).tobytes() for x in crowd[:200]]
+    ids = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "id long, fp binary")
+    bits, number = simhash.segment_plan(len(rows), 0.8)
+    keys = defaultdict(set)
+    for r in simhash._segments(ids, bits, number).collect():
+        keys[r.id].add(r.key)
+    words = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+    most = round(simhash.WIDE_BITS * simhash.bits_apart(0.8))
+    true = [(a, 3000 + a) for a in range(200) if keys[a] & keys[3000 + a] and np.bitwise_count(words[a] ^ words[3000 + a]).sum() <= most]
+    found = {r.node: r.component for r in graph.components(simhash.wide_links(ids)).collect()}
+    assert len(true) > 150 and [p for p in true if found.get(p[0], p[0]) != found.get(p[1], p[1])] == []
+
+
+@pytest.mark.parametrize("block", [2, 2048])
+def test_block_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(common, "BLOCK", block)
+    rows = spark.createDataFrame([(k % 3 if k < 18 else 9, k, 6 if k < 18 else 13) for k in range(31)], "key long, id long, n long")
+
+    def run(batches):
+        for batch, at in common.whole_groups(batches, ("key", "lo", "hi")):
+            key, lo, hi, mine, ids = (batch.column(k).to_pylist() for k in ("key", "lo", "hi", "mine", "id"))
+            for s, e in zip(at, at[1:], strict=False):
+                pairs = [(key[i], *sorted((ids[i], ids[j]))) for i in range(s, e) for j in range(s, i) if lo[i] == hi[i] or mine[i] != mine[j]]
+                assert all((key[i], lo[i], hi[i]) == (key[s], lo[s], hi[s]) for i in range(s, e))
+                yield pa.RecordBatch.from_pydict({"key": [p[0] for p in pairs], "a": [p[1] for p in pairs], "b": [p[2] for p in pairs]}, pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
+
+    got = sorted(map(tuple, common.block_pairs(rows, "key", "n").mapInArrow(run, "key long, a long, b long").collect()))
+    of = defaultdict(list)
+    for r in rows.collect():
+        of[r.key].append(r.id)
+    assert got == sorted((k, a, b) for k, x in of.items() for a in x for b in x if a < b)
+
+
 def test_components(spark):
     draw = random.Random(9)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(5001, 5300)] + [(7, 7), (None, 3)]
