@@ -148,14 +148,18 @@ def segment_plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """WIDE_BITS bits of the set of shingles; a bit is 1 if it is set in over half of them."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The set of shingles, as sorted XXH64 hashes; empty without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return bytes(WIDE_BITS // 8)
+        return np.zeros(0, "<u8")
     parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.fromiter((digest(p, SEED) for p in parts), "<u8", max(1, len(words) - shingle + 1)))
+    return np.unique(np.fromiter((digest(p, SEED) for p in parts), "<u8", max(1, len(words) - shingle + 1)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """WIDE_BITS bits of the set of shingles; a bit is 1 if it is set in over half of them."""
     ones = np.zeros(WIDE_BITS, np.int64)
     for at in range(0, len(hashes), 1 << 12):
         h = hashes[at : at + (1 << 12), None] * _SPREAD
@@ -167,13 +171,18 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (WIDE_BITS / 8 bytes)."""
+    """doc_id, fp (WIDE_BITS / 8 bytes), digest (of the set of shingles), hashes (the set)."""
     Scratch(docs.sparkSession, "simhash")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+        sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+        offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        fps = pa.array([wide_fingerprint(s) for s in sets], pa.binary())
+        digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+        return pa.record_batch([batch.column(0), fps, digests, pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "fp", "digest", "hashes"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp binary")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp binary, digest binary, hashes array<long>")
 
 
 def _segments(distinct: DataFrame, bits: int, number: int, last: str | None = None) -> DataFrame:
@@ -196,8 +205,29 @@ def _segments(distinct: DataFrame, bits: int, number: int, last: str | None = No
 
 
 def _apart(similarity: float) -> int:
-    """Bits in which fingerprints of texts of this similarity differ at most, by the mean."""
-    return round(WIDE_BITS * bits_apart(similarity))
+    """Bits in which fingerprints of texts of this similarity differ at most: the mean and three standard deviations."""
+    share = bits_apart(similarity)
+    return math.ceil(WIDE_BITS * share + 3 * math.sqrt(WIDE_BITS * share * (1 - share)))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets of shingles (doc_id, digest, hashes) have at least this Jaccard similarity."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    of = Scratch(pairs.sparkSession, "simhash-sets").keep(sets.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"]), "sets")
+    both = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.zeros(len(batch), bool)
+        (xs, at_x), (ys, at_y) = ((batch.column(k).flatten().to_numpy(), np.cumsum([0, *batch.column(k).value_lengths().to_pylist()])) for k in (2, 3))
+        for k in range(len(batch)):
+            x, y = xs[at_x[k] : at_x[k + 1]], ys[at_y[k] : at_y[k + 1]]
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
+                either = np.sort(np.concatenate([x, y]))
+                common = np.count_nonzero(either[1:] == either[:-1])
+                keep[k] = common >= similarity * (len(either) - common) - 1e-9
+        return pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long").distinct()
 
 
 def _chain_pairs(distinct: DataFrame, similarity: float, bits: int, number: int, scratch: Scratch) -> DataFrame:
@@ -257,16 +287,17 @@ def _all_pairs(distinct: DataFrame, classes: DataFrame, similarity: float, bits:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def wide_links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(a, b), a < b: links that join all pairs of ids in a shared bucket whose fingerprints differ in no more bits than texts of this similarity do.
+def wide_links(distinct: DataFrame, similarity: float = 0.8, sets: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: links that join all pairs of ids in a shared bucket whose fingerprints and, if given, sets of shingles are close enough.
 
     First a few pairs of each row of a bucket; then every other pair of a bucket, except where the first links have joined the two
     already: only the groups matter. Crowded buckets are compared block by block, dealt to many tasks.
     """
     scratch = Scratch(distinct.sparkSession, "simhash-wide")
     bits, number = segment_plan(distinct.count(), similarity)
-    some = scratch.keep(_chain_pairs(distinct, similarity, bits, number, scratch), "some")
-    rest = scratch.keep(_all_pairs(distinct, components(some), similarity, bits, number, scratch), "rest")
+    verify = lambda pairs: pairs if sets is None else similar(pairs, sets, similarity)
+    some = scratch.keep(verify(scratch.keep(_chain_pairs(distinct, similarity, bits, number, scratch), "close")), "some")
+    rest = scratch.keep(verify(scratch.keep(_all_pairs(distinct, components(some), similarity, bits, number, scratch), "close")), "rest")
     return some.unionAll(rest)
 
 
@@ -277,11 +308,12 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(wide_fingerprints(docs, shingle, id_col, text_col).filter("doc_id is not null"), "prints")
-    groups = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+    # one node for texts of equal sets; its id's set is theirs
+    groups = scratch.keep(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "distinct")
     ids = groups.select("id", "fp")
-    found = components(wide_links(ids, similarity))
-    classes = groups.join(found, groups["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    gone = prints.join(classes, "fp").filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    found = components(wide_links(ids, similarity, prints.select("doc_id", "digest", "hashes")))
+    classes = groups.join(found, groups["id"] == found["node"], "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    gone = prints.select("doc_id", "digest").join(classes, "digest").filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = scratch.keep(gone, "gone")
     # a filter over the ids that go spares the other documents the shuffle
     may_go = F.coalesce(hit_filter(gone, F.col("__gone"), gone.count())(F.col(id_col).cast("long")), F.lit(False))

@@ -388,6 +388,23 @@ def test_near_copies(spark):
     assert simhash.survivors(nulls).count() == 3
 
 
+def test_near_copies_at_the_limit(spark):
+    """Pairs of similarity 0.816 go to nearly the recall of the segments, pairs of 0.789 never."""
+    draw = random.Random(21)
+    texts = []
+    for changes in [6] * 150 + [7] * 150:
+        words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+        copy = list(words)
+        for k in range(changes):  # far enough apart to change 5 of 296 shingles each
+            copy[10 + 40 * k] = f"new{draw.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(copy)]
+    kept = {r.doc_id for r in simhash.survivors(documents(spark, texts)).select("doc_id").collect()}
+    missed = sum(2 * k + 2 in kept for k in range(150))
+    wrong = sum(2 * k + 2 not in kept for k in range(150, 300))
+    assert missed <= 20 and wrong == 0, (missed, wrong)
+    assert all(2 * k + 1 in kept for k in range(300))
+
+
 def test_near_copies_in_a_crowd(spark):
     """Copies that stand apart in a bucket of similar fingerprints: each pair of a shared bucket is found, blocks or not."""
     draw = np.random.default_rng(3)
@@ -402,7 +419,7 @@ def test_near_copies_in_a_crowd(spark):
     for r in simhash._segments(ids, bits, number).collect():
         keys[r.id].add(r.key)
     words = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
-    most = round(simhash.WIDE_BITS * simhash.bits_apart(0.8))
+    most = simhash._apart(0.8)
     true = [(a, 3000 + a) for a in range(200) if keys[a] & keys[3000 + a] and np.bitwise_count(words[a] ^ words[3000 + a]).sum() <= most]
     found = {r.node: r.component for r in graph.components(simhash.wide_links(ids)).collect()}
     assert len(true) > 150 and [p for p in true if found.get(p[0], p[0]) != found.get(p[1], p[1])] == []
