@@ -7,8 +7,8 @@ pass is found by another; the number of passes sets the recall (measured in the
 
 Large groups. A window sees a bounded number of a vector's partners, so groups are completed exactly: within a component, vectors whose
 angle to the component's first vector is at most half the threshold's angle are linked to each other by the triangle inequality, with no need to
-compare them; they are its core. A core vector's links are the rest of the core and the pairs found with vectors outside; other
-vectors' links are the pairs found. No group's pairs are listed, and no group is gathered in one task.
+compare them; they are its core. All other pairs of a component are compared and counted block by block, dealt to many tasks, so that n_links
+is exact inside a component. No group's pairs are listed, and no group is gathered in one task.
 
 The first rows of each range of a pass are compared with the end of the range before in a second, small step.
 
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import BLOCK, Scratch, whole_groups
 from .graph import components
 
 PASSES, WINDOW, BITS = 16, 64, 64
@@ -188,6 +188,36 @@ def find_pairs(rows: DataFrame, threshold: float = 0.93, passes: int = PASSES, w
     return found
 
 
+def _outside(members: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """id, n_out: links with at least one end outside the core, counted over all pairs of a component, block by block."""
+    total = members.groupBy("component").agg(F.count(F.when(~F.col("core"), 1)).alias("n_other")).filter("n_other > 0").join(sizes, "component")
+    others, cores = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("n_other", "n_core"))
+    # blocks of others come first; each meets every block, a block of the core only those of others
+    block = F.when(F.col("core"), others + F.pmod(F.xxhash64("id"), cores)).otherwise(F.pmod(F.xxhash64("id"), others)).cast("int")
+    last = F.when(F.col("core"), others).otherwise(others + cores) - 1
+    rows = members.join(total, "component").withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "v")
+    rows = rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+
+    def run(batches):
+        for batch, at in whole_groups(batches, ("component", "lo", "hi")):
+            lo, hi, mine, ids = (batch.column(k).to_numpy() for k in ("lo", "hi", "mine", "id"))
+            vectors, n = _block(batch, "v"), np.zeros(len(batch), np.int64)
+            for s, e in zip(at, at[1:], strict=False):
+                x = np.stack(vectors[s:e])
+                if lo[s] == hi[s]:
+                    near = x @ x.T >= least
+                    np.fill_diagonal(near, False)
+                    n[s:e] = near.sum(1)
+                else:
+                    i, j = np.flatnonzero(mine[s:e] == lo[s]), np.flatnonzero(mine[s:e] == hi[s])
+                    near = x[i] @ x[j].T >= least
+                    n[s + i], n[s + j] = near.sum(1), near.sum(0)
+            yield pa.record_batch([pa.array(ids[n > 0]), pa.array(n[n > 0])], names=["id", "n"])
+
+    return rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_out"))
+
+
 def near_dedup(vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors."""
     scratch = Scratch(vectors.sparkSession, "embedding")
@@ -199,11 +229,9 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES
     members = rows.join(classes, rows["id"] == classes["node"]).select("id", "component", "v")
     first = rows.join(classes.select("component").distinct(), rows["id"] == F.col("component"), "left_semi").select(F.col("id").alias("component"), F.col("v").alias("w"))
     cosine = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    members = scratch.keep(members.join(first, "component").select("id", "component", (cosine >= half).alias("core")), "members")
+    members = scratch.keep(members.join(first, "component").select("id", "component", "v", (cosine >= half).alias("core")), "members")
     sizes = members.filter("core").groupBy("component").agg(F.count(F.lit(1)).alias("n_core"))
-    core = members.select("id", "core")
-    ends = pairs.join(core.withColumnsRenamed({"id": "a", "core": "core_a"}), "a").join(core.withColumnsRenamed({"id": "b", "core": "core_b"}), "b")
-    outside = ends.filter("not (core_a and core_b)").select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_out"))
+    outside = _outside(members, sizes, threshold)
     counted = members.join(sizes, "component", "left").join(outside, "id", "left")
     n = F.coalesce("n_out", F.lit(0)) + F.when(F.col("core"), F.col("n_core") - 1).otherwise(0)
     counted = counted.select(F.col("id").alias("__id"), n.cast("long").alias("n_links"), F.col("component").alias("component_id"))

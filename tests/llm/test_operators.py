@@ -513,6 +513,14 @@ def test_embeddings(spark):
     assert len(wrong) <= 0.05 * len(comp)
 
 
+def test_links_outside_the_core(spark):
+    """Two groups of equal vectors at cosine 0.95: the second is outside the first's core, and larger than the windows of all passes."""
+    x, y = [1.0] + [0.0] * 7, [0.95, (1 - 0.95**2) ** 0.5] + [0.0] * 6
+    rows = [(k, x if k < 2500 else y, 0) for k in range(5000)]
+    got = embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), passes=4)
+    assert {(r.n_links, r.component_id) for r in got.select("n_links", "component_id").distinct().collect()} == {(4999, 0)}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_dedup(df).count() == 0
