@@ -214,6 +214,47 @@ def test_lexicon_forgets_and_grows():
     assert some.look_up(long, np.array([0]), np.array([len(long)]))[0].tolist() == [len(long), ord("z")]
 
 
+def twins(n):
+    """Two words of n bytes (a power of 2) that any polynomial hash modulo 2^64 takes for one from 1,024 bytes on: Thue-Morse and its complement."""
+    bits = [k.bit_count() % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_twins_share_a_hash():
+    x, y = (np.frombuffer(w.encode(), np.uint8) for w in twins(2048))
+    one = [lexicon.hashes(w, np.array([0]), np.array([2048])) for w in (x, y)]
+    assert one[0] == one[1]
+
+
+def test_words_that_collide(spark, tmp_path):
+    """Alone, in turn, side by side in one text, and remembered from an earlier batch: ids are those of the libraries."""
+    import sentencepiece
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    texts = []
+    for n in (512, 1024, 2048, 4096, 8192):
+        x, y = twins(n)
+        texts += [x, y, f"{x} {y}", f"the {y}, {x} and {y}", f"{y}{x}"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")
+    ranks = byte_bpe.load_ranks(open(RANKS, "rb").read())
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for r in byte_bpe.encode(df, RANKS, P.PATTERN, keep=("text",), decoded=True).collect():
+            assert list(r.ids) == library.encode_ordinary(r.text) and bytes(r.decoded).decode() == r.text
+        token_files.write(df, f"{tmp_path}/ids", WORDS, end_id=2, partitions=1)
+        tokenizer = Tokenizer.from_file(WORDS)
+        for r in token_files.read(spark, f"{tmp_path}/ids").collect():
+            assert list(r.ids) == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
+        sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+        for r in token_count.count_tokens(df, PIECES).collect():
+            assert r.n_tokens == len(sp.encode(texts[r.doc_id], num_threads=1))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def test_memory_keeps_two_generations():
     class Squares(Memory):
         LIMIT = 10
