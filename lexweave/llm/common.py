@@ -24,11 +24,13 @@ BATCH_ROWS = 1000
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
 
-    Only where it is unset (tests on one machine) a temporary folder is set in its place.
+    Only where it is unset and all of Spark runs in this process's machine (tests) a temporary folder is set in its place.
     """
     conf = spark.sparkContext.getConf()
     place = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="lexweave-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -41,6 +43,7 @@ class Scratch:
         self.spark = importable(spark)
         self.root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.written: dict[str, DataFrame] = {}
         # executors start separate workers for either value, and they would hold two sets of tables: one value for all
         spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
@@ -55,13 +58,19 @@ class Scratch:
         df.write.options(**options).parquet(place := self.path(name))
         out = self.spark.read.schema(df.schema).parquet(place)
         out.lexweave_path = place
+        self.written[place] = out
         return out
 
+    def only(self, *frames: DataFrame) -> None:
+        """Delete all tables written so far but these, which the result reads."""
+        self.drop(*(df for place, df in list(self.written.items()) if place not in {f.lexweave_path for f in frames}))
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete written tables that nothing will read again."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
+            self.written.pop(df.lexweave_path, None)
             path = jvm.org.apache.hadoop.fs.Path(df.lexweave_path)
             path.getFileSystem(conf).delete(path, True)
 

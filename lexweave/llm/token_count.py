@@ -2,12 +2,14 @@
 
 The proof, made once on the driver (`proven`): (1) no piece has a space mark after another character, so no merge
 crosses the start of a run of spaces, and a text's count is the sum over its pre-tokens (a run of spaces with the word
-after it); (2) normalisation is the identity but for the mark put before the text; (3) a vocabulary string is a whole
+after it); (2) the model file itself says that it merges pairs and that its normalisation is the identity, with no table of
+characters, but for the mark that is put before the text and stands for spaces; (3) a vocabulary string is a whole
 token if the library encodes it, alone, as exactly one id. Executors count pre-tokens that are whole tokens as 1 and
 merge only the rest, each distinct one once for as long as it is remembered (see lexicon.py).
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens. Special strings in a text are ordinary text, as the library
-takes them. Texts of any length are read whole. Rows that repeat are counted each; other columns are not read.
+takes them. Texts of any length are read whole. Rows that repeat are counted each; other columns are not read, whatever
+their names. A null doc_id stays null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +28,50 @@ from .lexicon import Lexicon, per_text
 MARK = "▁"
 
 
+def fields(message: bytes) -> dict[int, int | bytes]:
+    """The last value of each field of a protocol-buffer message: an integer, or bytes."""
+    out, at = {}, 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            n |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return n
+
+    while at < len(message):
+        tag = varint()
+        if tag & 7 == 0:
+            out[tag >> 3] = varint()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or varint()
+            out[tag >> 3] = message[at : at + size]
+            at += size
+    return out
+
+
+# Numbers of fields in the published schema of model files.
+TRAINER, NORMALIZER = 2, 3
+MODEL_TYPE, SUFFIX = 3, 24
+CHARS_MAP, DUMMY_PREFIX, DROP_SPACES, ESCAPE, RULES = 2, 3, 4, 5, 6
+BPE = 2
+
+
 def proven(model: bytes) -> list[str]:
     """The strings (without their leading mark) that encode alone as one token; raises if the shortcut does not hold."""
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
     if any(MARK in p.lstrip(MARK) for p in pieces):
         raise ValueError("a piece spans a word boundary: pre-tokens can't be counted apart")
-    if sp.normalize("  ﬁ Ａ\tz  ") != f"{MARK}{MARK}{MARK}ﬁ{MARK}Ａ\tz{MARK}{MARK}" or sp.encode(""):
+    spec = fields(model)
+    trainer, normal = fields(spec[TRAINER]), fields(spec[NORMALIZER])
+    if trainer.get(MODEL_TYPE, 1) != BPE or trainer.get(SUFFIX, 0):
+        raise ValueError("the model does not merge pairs after a leading mark: pre-tokens can't be counted apart")
+    if normal.get(CHARS_MAP) or normal.get(RULES) or normal.get(DROP_SPACES, 1) or not normal.get(DUMMY_PREFIX, 1) or not normal.get(ESCAPE, 1) or sp.encode(""):
         raise ValueError("the model changes characters or drops spaces: pre-tokens can't be counted apart")
     words = [p[1:] for p in pieces if p[0] == MARK and p[1:] and MARK not in p[1:]]
     return [w for w, ids in zip(words, sp.encode(words, num_threads=1), strict=True) if len(ids) == 1]

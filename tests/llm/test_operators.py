@@ -131,6 +131,12 @@ def test_whole_tokens_are_proven():
     with open(PIECES, "rb") as f:
         words = token_count.proven(f.read())
     assert len(words) > 10_000 and "the" in words
+    model = open(PIECES, "rb").read()
+    spec = token_count.fields(model)[token_count.NORMALIZER]
+    changed = model.replace(spec, spec.replace(b"\x20\x00", b"\x20\x01"))  # drops spaces
+    assert changed != model
+    with pytest.raises(ValueError):
+        token_count.proven(changed)
 
 
 def test_token_files(spark, tmp_path):
@@ -562,6 +568,41 @@ def test_links_outside_the_core(spark):
     assert {(r.n_links, r.component_id) for r in got.select("n_links", "component_id").distinct().collect()} == {(4999, 0)}
 
 
+def test_dense_group(spark):
+    """4,000 vectors of 64 dimensions whose mean cosine is 0.95: hardly any is in the core, and no window holds a vector's links."""
+    draw = np.random.default_rng(5)
+    base = draw.standard_normal(64)
+    base /= np.linalg.norm(base)
+    x = base + draw.standard_normal((4000, 64)) * (0.0526 / 64) ** 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_dedup(df).collect()}
+    assert true.sum() > 7_000_000 and [got[k].n_links for k in range(4000)] == true.tolist()
+    assert {r.component_id for r in got.values()} == {0}
+
+
+def test_stars_connect():
+    draw = np.random.default_rng(2)
+    part = draw.integers(0, 60, 100)
+    i, j = draw.integers(0, 100, 50), draw.integers(0, 100, 50)
+    a, b = embedding_dedup._stars(part, i, j)
+
+    def classes(pairs):
+        low = {p: p for p in part.tolist()}
+        for _ in low:
+            for p, q in pairs:
+                low[p] = low[q] = min(low[p], low[q])
+        return low
+
+    assert len(a) < 60 and classes(list(zip(a.tolist(), b.tolist(), strict=True))) == classes(list(zip(part[i].tolist(), part[j].tolist(), strict=True)))
+
+
+def test_passes_follow_the_largest_label():
+    assert embedding_dedup.passes_for(0, 0.93) == embedding_dedup.passes_for(20_000, 0.93) == embedding_dedup.PASSES
+    assert embedding_dedup.passes_for(10**6, 0.93) < embedding_dedup.passes_for(10**8, 0.93) < 100
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_dedup(df).count() == 0
