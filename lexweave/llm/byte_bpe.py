@@ -10,7 +10,9 @@ A text is cut before each space that a character other than white space follows:
 place. Ids of cuts and of matches are remembered (see lexicon.py), so frequent words are encoded once a worker.
 
 Defined cases: a null text is empty and has no ids. Special strings are ordinary text. Decoding unknown ids raises an
-error. Decoded bytes of an encoded text are its UTF-8 bytes. Texts of any length are encoded whole.
+error. Decoded bytes of an encoded text are its UTF-8 bytes. Texts of any length are encoded whole. A null doc_id stays null; rows that
+repeat are encoded each. Of other columns those named in `keep`, which must not be called ids or decoded, are passed on, the rest is not
+read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, Scratch, built, by_size, map_batches, read_local
+from .common import Memory, Scratch, built, fresh, by_size, map_batches, read_local
 from .lexicon import Lexicon, per_text
 from .token_files import CHUNK, lists
 
@@ -189,8 +191,9 @@ def tables(spark, ranks_path: str, pattern: str):
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """doc_id, the columns named in keep, and ids: array<int>; with decoded also the bytes that the ids decode to, in the same pass."""
     shared = tables(Scratch(docs.sparkSession, "byte-bpe").spark, ranks_path, pattern)
-    rows = docs.select(F.coalesce(text_col, F.lit("")).alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *keep)
-    schema = rows.drop("__text").withColumn("ids", F.lit(None).cast("array<int>"))
+    text = fresh("text_to_encode", docs)
+    rows = docs.select(F.coalesce(text_col, F.lit("")).alias(text), F.col(id_col).cast("long").alias("doc_id"), *keep)
+    schema = rows.drop(text).withColumn("ids", F.lit(None).cast("array<int>"))
     schema = (schema.withColumn("decoded", F.lit(None).cast("binary")) if decoded else schema).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

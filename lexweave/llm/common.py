@@ -75,6 +75,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever its case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, how: str = "inner", salts: int = 64) -> DataFrame:
     """left join right on keys, right unique by key; the rows of heavy keys in left go to `salts` tasks.
 
@@ -106,21 +114,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
-#: Rows of a block in which all pairs are compared.
-BLOCK = 2048
-
-
-def block_pairs(rows: DataFrame, key: str, n: str, id_col: str = "id") -> DataFrame:
-    """rows with lo, hi and mine: any two rows of a key (n: its number of rows) meet in just one (key, lo, hi), where a row's block is mine.
-
-    Where lo and hi differ, only rows of different blocks are to be compared. Sorted by key, lo, hi in partitions; large keys are dealt to many.
-    """
-    blocks = F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64(id_col), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).drop("other", n)
-    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
     """Sorted batches put together so that no group is cut, each with the places where groups start and the end."""
     held: list[pa.RecordBatch] = []

@@ -9,7 +9,8 @@ ids, probed for every document, lets only hits be read again and travel with the
 the row that stays. A hit that differs (a digest collision) leaves the digest's group and is grouped by its text
 instead, so a collision costs time, never a row.
 
-Defined cases: a null text counts as empty. Of rows equal in text and doc_id the first one read stays. A null doc_id
+Defined cases: a null text counts as empty. Of rows equal in text and doc_id the first one read is marked as kept; survivors() keeps the
+one whose columns have the smallest hash. A null doc_id
 sorts after all others. An empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, heavy_keys, salted_join
+from .common import SPACE, Scratch, fresh, heavy_keys, salted_join
 
 #: Bits of the hit filter for each hit, and the most bits it may have (8 MB, broadcast as a constant).
 FILTER_BITS_PER_KEY, FILTER_MAX_BITS = 16, 1 << 26
@@ -143,12 +144,16 @@ class ExactDedup:
 
     def survivors(self) -> DataFrame:
         """The table's rows that stay, with all their columns. Documents whose id surely stays are passed on as they are."""
+        rid, sha, own = (fresh(x, self.docs) for x in ("row", "sha", "own_sha"))
         result = self.index.scratch.keep(self.result().select("doc_id", "kept", "text_sha256"), "result")
         may_go = self._may_be(result.filter("not kept").select("doc_id").distinct())
-        kept = result.filter("kept").select(F.col("doc_id").alias("__keep"), F.unhex("text_sha256").alias("__keep_sha"))
-        rest = self.docs.filter(may_go).withColumns({"__sha": self.index.digest(self.text), "__id": self.id})
-        stay = rest.join(kept, rest["__id"].eqNullSafe(kept["__keep"]) & (rest["__sha"] == kept["__keep_sha"]), "left_semi")
-        return self.docs.filter(~may_go).unionByName(stay.dropDuplicates(["__id", "__sha"]).drop("__sha", "__id"))
+        kept = result.filter("kept").select(F.col("doc_id").alias(rid), F.unhex("text_sha256").alias(sha))
+        rest = self.docs.filter(may_go)
+        rest = rest.join(kept, self.id.eqNullSafe(F.col(rid)) & (self.index.digest(self.text) == F.col(sha)), "left_semi")
+        # rows equal in doc_id and text but not in other columns: the one whose columns' hash is smallest stays
+        stay = rest.withColumns({rid: self.id, own: self.index.digest(self.text)})
+        first = stay.groupBy(rid, own).agg(F.min_by(F.struct(*self.docs.columns), F.xxhash64(*self.docs.columns)).alias(sha))
+        return self.docs.filter(~may_go).unionByName(first.select(f"`{sha}`.*"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:

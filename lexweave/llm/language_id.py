@@ -9,7 +9,8 @@ Learned languages are the values of lang in rows that may be learned from (see l
 refused, as the matrix must have a bound. Counts use every such row.
 
 Defined cases: lang_pred is `und`, with score 0, for a null text, a text without a letter, or if no language was learned.
-Ties go to the language first in code point order. Texts are read whole; rows that repeat get the same result.
+Ties go to the language first in code point order. Texts are read whole; rows that repeat get the same result. A null doc_id is not held
+out, and its row is learned from. Other columns, whatever their names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ the normalised difference (good - bad) / (good + bad) of the compressed sizes, a
 tells repetition apart from prose; a logistic curve fitted on rows that are in no dictionary makes them a score.
 
 Defined cases: null and empty texts have difference 0 and ratio 1, and the score of that. Without labelled rows of both
-classes the score is the share of label 1 (0.5 if there are none). Repeated rows get the same score. Texts are read whole.
+classes the score is the share of label 1 (0.5 if there are none). Repeated rows get the same score, ties (a score of just the
+threshold) are predicted 1. Texts are scored whole. A null doc_id is not held out and has no label. Other columns, whatever their
+names, are not read; with keep they are passed on. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches
+from .common import Scratch, fresh, map_batches
 from .learning import class_weights, held_out, labelled_sample, logistic, lowest_share, probability
 
 FIT_ROWS = 20_000
@@ -101,17 +103,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
     return dictionaries, logistic(held[["x0", "x1"]].to_numpy(), y, class_weights(y, counts))
 
 
-def score(docs: DataFrame, learned, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document; with keep, the columns of docs and __score."""
+def score(docs: DataFrame, learned, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted for each document; with keep, the columns of docs and the score in a new column of that name."""
     dictionaries, w = learned
     shared = Scratch(docs.sparkSession, "quality").spark.sparkContext.broadcast((dictionaries, w))
-    text = F.coalesce(text_col, F.lit("")).alias("__text")
+    text, out = F.coalesce(text_col, F.lit("")).alias(fresh("score_text", docs)), keep or "score"
     if keep:
+        if keep.lower() in (c.lower() for c in docs.columns):
+            raise ValueError(f"docs has a column {keep}")
         rows = docs.select(text, *docs.columns)
-        schema = docs.withColumn("__score", F.lit(0.0)).schema
+        schema = docs.withColumn(keep, F.lit(0.0)).schema
     else:
         rows = docs.select(text, F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
-        schema = "doc_id long, held_out boolean, __score double"
+        schema = "doc_id long, held_out boolean, score double"
 
     def run(batches):
         dictionaries, w = shared.value
@@ -120,9 +124,7 @@ def score(docs: DataFrame, learned, threshold: float = 0.5, id_col: str = "doc_i
             texts = batch.column(0).to_pylist()
             x = np.array([compressors.features(t) for t in texts]).reshape(-1, 2) if dictionaries else np.zeros((len(texts), 2))
             p = probability(w[0] + x @ w[1:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names=[*batch.schema.names[1:], "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names=[*batch.schema.names[1:], out])
 
     scored = rows.mapInArrow(run, schema)
-    if keep:
-        return scored
-    return scored.select("doc_id", "held_out", F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    return scored if keep else scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,11 @@ FROM n WINDOW w AS (PARTITION BY norm)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import plan
 
-    m = plan(table(spark, sf_dir, "documents"))
-    return m.select("doc_id", "__mix.size", "__mix.source_size", "__mix.target", (F.col("__mix.size") * F.col("__mix.copies")).alias("taken"), F.col("__mix.copies").alias("copies"))
+    docs = table(spark, sf_dir, "documents")
+    out = fresh("mix", docs)
+    m = F.col(out)
+    found = plan(docs, out=out)
+    return found.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * m["copies"]).alias("taken"), m["copies"].alias("copies"))
 
 
 OP10_SQL = r"""

@@ -12,21 +12,23 @@ A fingerprint has at most a few thousand others within distance 2, so links stay
 
 Defined cases: fewer words than a shingle make one shingle of all words; no words (also null) make fingerprint zero, linked like any
 other. A null doc_id has a fingerprint, but is never the smallest id; its component is null if no other id is in it. Rows that share
-a doc_id are grouped each by its own text. Texts are read whole. Other columns are not read.
+a doc_id are grouped each by its own text. Texts are read whole. Other columns, whatever their names, are not read. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_pairs, map_batches, whole_groups
+from .common import Scratch, fresh, map_batches
 from .exact_dedup import hit_filter
 from .graph import components
 
@@ -129,10 +131,29 @@ def hexadecimal(fp: Column) -> Column:
 
 
 # Wide fingerprints: near copies of a given similarity, where 64 bits can't tell them apart
-
-#: 64-bit words of a wide fingerprint, and the recall aimed at for pairs of just the least similarity.
-WIDE_WORDS, RECALL = 8, 0.9
+#
+# The same method, multi-index hashing, over fingerprints of 512 bits of the set of shingles. Texts of similarity 0.8 differ in 78 of
+# them on average, so no ball of a size worth listing proves that distance; there are as many segments as find a pair of just
+# the least similarity with probability RECALL (computed, and measured in the README). The steps:
+#
+# 1. texts of equal sets of shingles are one node;
+# 2. nodes that agree in a segment and STAR_BITS more bits are compared with one node of their bucket, and each node with one node of
+#    any component that fills a bucket it can see: a few pairs a node, which join most of a large group;
+# 3. each node is looked up under all keys of the Hamming ball of radius 1 around its segments, in batches of segments. The
+#    table matches are compared where they are found, but for those of one component, and components are joined after each batch.
+#
+# Every match is verified by its whole distance and then by the exact Jaccard similarity. A component that fills a bucket is kept apart
+# there, so its own pairs are never met: a group of g nodes costs about g pairs. Nothing is capped; a bucket shared by many texts
+# that are alike but no copies is compared in full, inside a join that Spark splits.
+
+#: 64-bit words of a wide fingerprint, of which SKETCH travel with each look-up; the recall aimed at for pairs of just the least similarity.
+WIDE_WORDS, SKETCH, RECALL = 8, 2, 0.95
 WIDE_BITS = 64 * WIDE_WORDS
+#: Nodes of a segment's bucket, as a power of 2, where fingerprints are random; bits more that nodes compared in step 2 agree in.
+FILL_BITS, STAR_BITS = 5, 7
+#: Nodes of one component from which a bucket keeps it apart; segments at least, and of a batch.
+CROWDED, LEAST_SEGMENTS, TOGETHER = 64, 6, 6
+WORDS = [f"f{k}" for k in range(WIDE_WORDS)]
 _SPREAD = np.random.default_rng(97).integers(1, 1 << 63, WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -141,11 +162,36 @@ def bits_apart(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def most_apart(similarity: float, bits: int) -> int:
+    """Of so many bits, those in which texts of this similarity differ at most: the mean and three standard deviations."""
+    share = bits_apart(similarity)
+    return math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+
+
 def segment_plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a segment, number of segments) for n fingerprints: buckets stay small as n grows, and enough segments agree."""
-    bits = min(48, max(16, math.ceil(math.log2(max(2, n))) + 2))
-    agree = (1 - bits_apart(similarity)) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+    """(bits of a segment, number of segments) for n fingerprints.
+
+    A segment finds a pair that differs in at most one of its bits. The number of differing bits in the whole fingerprint varies
+    from pair to pair (binomially); the recall is the mean over it, and pairs beyond most_apart() count as lost.
+    """
+    bits = min(40, max(8, math.ceil(math.log2(max(2, n))) - FILL_BITS))
+    share, choose = bits_apart(similarity), math.comb
+    most = most_apart(similarity, WIDE_BITS)
+    weight = [choose(WIDE_BITS, d) * share**d * (1 - share) ** (WIDE_BITS - d) for d in range(most + 1)]
+    hit = [(choose(WIDE_BITS - bits, d) + bits * choose(WIDE_BITS - bits, d - 1 if d else 0) * (d > 0)) / choose(WIDE_BITS, d) for d in range(most + 1)]
+    number = LEAST_SEGMENTS
+    while sum(w * (1 - (1 - h) ** number) for w, h in zip(weight, hit, strict=True)) < recall:
+        number += 1
+    return bits, number
+
+
+def segment_bits(bits: int, number: int) -> np.ndarray:
+    """The places of the bits of each segment, and of the STAR_BITS after them: disjoint segments of one order of all bits, then of the next."""
+    draw, out = np.random.default_rng(5), []
+    while len(out) < number:
+        order = draw.permutation(WIDE_BITS)
+        out += [np.take(order, range(k, k + bits + STAR_BITS), mode="wrap") for k in range(0, WIDE_BITS - bits + 1, bits)]
+    return np.array(out[:number])
 
 
 def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -158,8 +204,8 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(p, SEED) for p in parts), "<u8", max(1, len(words) - shingle + 1)))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """WIDE_BITS bits of the set of shingles; a bit is 1 if it is set in over half of them."""
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE_WORDS words of the set of shingles; a bit is 1 if it is set in over half of them."""
     ones = np.zeros(WIDE_BITS, np.int64)
     for at in range(0, len(hashes), 1 << 12):
         h = hashes[at : at + (1 << 12), None] * _SPREAD
@@ -167,54 +213,166 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
         ones += np.unpackbits(h.view(np.uint8), axis=1).sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
+    return np.packbits(2 * ones > len(hashes)).view("<i8")
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (WIDE_BITS / 8 bytes), digest (of the set of shingles), hashes (the set)."""
+    """doc_id, sha (of the text), digest (of the set of shingles), hashes (the set), and the WORDS of its fingerprint."""
     Scratch(docs.sparkSession, "simhash")
+    text = F.coalesce(F.col(text_col), F.lit(""))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+        sets = [shingle_hashes(t, shingle) for t in batch.column(2).to_pylist()]
         offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        fps = pa.array([wide_fingerprint(s) for s in sets], pa.binary())
-        digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-        return pa.record_batch([batch.column(0), fps, digests, pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "fp", "digest", "hashes"])
+        prints = np.stack([wide_fingerprint(s) for s in sets]) if sets else np.zeros((0, WIDE_WORDS), np.int64)
+        digests = pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary())
+        return pa.record_batch([*batch.columns[:2], digests, pa.ListArray.from_arrays(offsets, values), *map(pa.array, prints.T.copy())], names=["doc_id", "sha", "digest", "hashes", *WORDS])
+
+    schema = "doc_id long, sha string, digest binary, hashes array<long>, " + ", ".join(f"{w} long" for w in WORDS)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), _sha(text).alias("sha"), text.alias("text")), run, schema)
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp binary, digest binary, hashes array<long>")
 
+def _sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
 
-def _segments(distinct: DataFrame, bits: int, number: int, last: str | None = None) -> DataFrame:
-    """key, id, sketch (or the column last): a row for each segment of each fingerprint; a segment is a fixed choice of bits."""
+
+def _entries(nodes: DataFrame, plan: tuple[int, int], tables: range, radius: int) -> DataFrame:
+    """Of nodes (id, part, WORDS), a row for each key in the balls around these segments: key, star, off, id, part, s0, s1.
+
+    Of two fingerprints that differ in one bit of a segment one has a 0 there, so a ball of radius 1 lists only keys with a 0 turned to 1.
+    """
+    places = segment_bits(*plan)
+    bits = plan[0]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        draw, weights = np.random.default_rng(5), 1 << np.arange(bits, dtype=np.int64)
-        n = len(batch)
-        raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
-        one = np.unpackbits(raw, axis=1)
-        keys = np.empty((number, n), np.int64)
-        for k in range(number):
-            keys[k] = one[:, draw.permutation(WIDE_BITS)[:bits]].astype(np.int64) @ weights
-        keys += np.arange(number, dtype=np.int64)[:, None] << 48
-        third = batch.column(2).to_numpy() if last else raw[:, :8].copy().view("<i8").ravel()
-        ids = batch.column(0).to_numpy()
-        return pa.record_batch([pa.array(keys.ravel()), pa.array(np.tile(ids, number)), pa.array(np.tile(third, number))], names=["key", "id", last or "sketch"])
-
-    return map_batches(distinct.select("id", "fp", *([last] if last else [])), run, f"key long, id long, {last or 'sketch'} long")
-
-
-def _apart(similarity: float) -> int:
-    """Bits in which fingerprints of texts of this similarity differ at most: the mean and three standard deviations."""
-    share = bits_apart(similarity)
-    return math.ceil(WIDE_BITS * share + 3 * math.sqrt(WIDE_BITS * share * (1 - share)))
+        words = np.column_stack([batch.column(w).to_numpy() for w in WORDS]) if len(batch) else np.zeros((0, WIDE_WORDS), np.int64)
+        one = np.unpackbits(words.view(np.uint8).reshape(len(batch), -1), axis=1)
+        keys, stars, offs, rows = [], [], [], []
+        for k in tables:
+            own = one[:, places[k]].astype(np.int64)
+            key, table = own[:, :bits] @ (1 << np.arange(bits)), k << 48
+            star = key | own[:, bits:] @ (1 << np.arange(bits, bits + STAR_BITS))
+            keys.append(key | table)
+            stars.append(star | table)
+            offs.append(np.zeros(len(key), np.int32))
+            rows.append(np.arange(len(key)))
+            for j in range(bits if radius else 0):
+                zero = np.flatnonzero(own[:, j] == 0)
+                keys.append(key[zero] + (1 << j) | table)
+                stars.append(np.full(len(zero), -1))
+                offs.append(np.ones(len(zero), np.int32))
+                rows.append(zero)
+        at = pa.array(np.concatenate(rows))
+        more = [batch.column(name).take(at) for name in ("id", "part", *WORDS[:SKETCH])]
+        return pa.record_batch([*(pa.array(np.concatenate(x)) for x in (keys, stars, offs)), *more], names=["key", "star", "off", "id", "part", "s0", "s1"])
+
+    return map_batches(nodes.select("id", "part", *WORDS), run, "key long, star long, off int, id long, part long, s0 long, s1 long")
+
+
+def _differ(left: list[Column], right: list[Column]) -> Column:
+    counts = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(left, right, strict=True)]
+    return sum(counts[1:], counts[0])
+
+
+class NearCopies:
+    """Components of texts whose sets of shingles are similar, from wide_fingerprints()."""
+
+    def __init__(self, prints: DataFrame, similarity: float):
+        self.scratch, self.similarity = Scratch(prints.sparkSession, "near-copies"), similarity
+        self.close = most_apart(similarity, 64 * SKETCH)
+        self.prints = prints
+        groups = prints.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(w).alias(w) for w in WORDS))
+        self.groups = self.scratch.keep(groups.withColumn("id", F.monotonically_increasing_id()), "distinct")
+        self.nodes = self.scratch.keep(self.groups.select("id", F.col("id").alias("part"), *WORDS), "nodes")
+        self.plan = segment_plan(self.nodes.count(), similarity)
+
+    def _sets(self, ids: DataFrame) -> DataFrame:
+        """id, hashes of these nodes, from one row of each."""
+        of = self.groups.select("id", "digest", "first").join(ids, "id", "left_semi").withColumnRenamed("first", "doc_id")
+        return self.prints.select("digest", "doc_id", "hashes").join(of, ["digest", "doc_id"]).select("id", "hashes").dropDuplicates(["id"])
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of candidate pairs (a, b) whose whole distance and similarity allow a link."""
+        pairs = self.scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        ends = [self.nodes.select(F.col("id").alias(end), *(F.col(w).alias(f"{end}_{w}") for w in WORDS)) for end in ("a", "b")]
+        both = pairs.join(ends[0], "a").join(ends[1], "b")
+        apart = _differ([F.col(f"a_{w}") for w in WORDS], [F.col(f"b_{w}") for w in WORDS])
+        near = self.scratch.keep(both.filter(apart <= most_apart(self.similarity, WIDE_BITS)).select("a", "b"), "near")
+        sets = self.scratch.keep(self._sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+        out = self.scratch.keep(similar(near, sets, self.similarity), "links")
+        self.scratch.drop(pairs, near, sets)
+        return out
+
+    def join_parts(self, pairs: DataFrame) -> None:
+        """Verify candidates and contract the components that they join."""
+        links = self.verified(pairs)
+        if links.isEmpty():
+            return
+        part = self.nodes.select("id", "part")
+        ends = links.join(part.withColumnsRenamed({"id": "a", "part": "x"}), "a").join(part.withColumnsRenamed({"id": "b", "part": "y"}), "b")
+        found = components(ends.select("x", "y"), "x", "y")
+        moved = self.nodes.join(found, self.nodes["part"] == found["node"], "left")
+        before, self.nodes = self.nodes, self.scratch.keep(moved.select("id", F.coalesce("component", "part").alias("part"), *WORDS), "nodes")
+        self.scratch.drop(before, links, found)
+
+    def _stars(self) -> DataFrame:
+        """(a, b): each node and the first, in a random order, of its bucket under longer keys."""
+        rows = _entries(self.nodes, self.plan, range(self.plan[1]), 0)
+        node = F.struct(F.xxhash64("id", "star").alias("order"), "id", "s0", "s1")
+        first = rows.groupBy("star").agg(F.min(node).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("star", "f")
+        both = rows.join(first, "star").filter(F.col("id") != F.col("f.id"))
+        return both.filter(_differ([F.col("s0"), F.col("s1")], [F.col("f.s0"), F.col("f.s1")]) <= self.close).select(F.col("id").alias("a"), F.col("f.id").alias("b"))
+
+    def _filled(self, centres: DataFrame) -> DataFrame:
+        """key, dom, rep: the component that fills a bucket, if one does, and one of its nodes there."""
+        by_part = centres.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id", "s0", "s1")).alias("rep")).filter(F.col("n") > CROWDED)
+        most = by_part.groupBy("key").agg(F.max(F.struct("n", "part", "rep")).alias("x"))
+        return self.scratch.keep(most.select("key", F.col("x.part").alias("dom"), F.col("x.rep").alias("rep")), "filled")
+
+    def _to_filled(self) -> DataFrame | None:
+        """(a, b): each node and one node of every other component that fills a bucket in its balls."""
+        every = range(self.plan[1])
+        filled = self._filled(_entries(self.nodes, self.plan, every, 0))
+        if filled.isEmpty():
+            return None
+        both = _entries(self.nodes, self.plan, every, 1).join(filled, "key").filter("part != dom")
+        return both.filter(_differ([F.col("s0"), F.col("s1")], [F.col("rep.s0"), F.col("rep.s1")]) <= self.close).select(F.col("id").alias("a"), F.col("rep.id").alias("b"))
+
+    def _matches(self, tables: range) -> DataFrame:
+        """(a, b): all table matches of different components under these segments whose sketches are close."""
+        centres, probes = (_entries(self.nodes, self.plan, tables, radius) for radius in (0, 1))
+        filled = self._filled(centres)
+        on = ["key"]
+        if not filled.isEmpty():
+            filled, on = filled.select("key", "dom"), ["key", "inside"]
+            centres = centres.join(filled, "key", "left").withColumn("inside", F.coalesce(F.col("part") == F.col("dom"), F.lit(False)))
+            # nodes of the component that fills a bucket look for the others only
+            sides = F.when(F.col("dom").isNull() | (F.col("part") == F.col("dom")), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+            probes = probes.join(filled, "key", "left").withColumn("inside", F.explode(sides))
+        b = centres.select(*on, F.col("id").alias("b"), F.col("part").alias("part_b"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+        found = probes.withColumnRenamed("id", "a").join(b, on)
+        close = _differ([F.col("s0"), F.col("s1")], [F.col("t0"), F.col("t1")]) <= self.close
+        return found.filter((F.col("part") != F.col("part_b")) & ((F.col("off") == 1) | (F.col("a") < F.col("b"))) & close).select("a", "b")
+
+    def components(self) -> DataFrame:
+        """(doc_id, sha, component_id) of each row of prints; component_id is the smallest doc_id of the group."""
+        self.join_parts(self._stars())
+        if (pairs := self._to_filled()) is not None:
+            self.join_parts(pairs)
+        for first in range(0, self.plan[1], TOGETHER):
+            self.join_parts(self._matches(range(first, min(self.plan[1], first + TOGETHER))))
+        classes = self.groups.select("digest", "id", "first").join(self.nodes.select("id", "part"), "id")
+        lowest = classes.groupBy("part").agg(F.min("first").alias("component_id"))
+        classes = classes.join(lowest, "part").select("digest", "component_id")
+        out = self.scratch.keep(self.prints.select("doc_id", "sha", "digest").join(classes, "digest").select("doc_id", "sha", "component_id"), "classes")
+        self.scratch.only(out)
+        return out
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose sets of shingles (doc_id, digest, hashes) have at least this Jaccard similarity."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    of = Scratch(pairs.sparkSession, "simhash-sets").keep(sets.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"]), "sets")
-    both = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    """Those of distinct pairs (a, b) whose sets of shingles (id, hashes) have at least this Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.zeros(len(batch), bool)
@@ -227,95 +385,23 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep[k] = common >= similarity * (len(either) - common) - 1e-9
         return pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long").distinct()
-
-
-def _chain_pairs(distinct: DataFrame, similarity: float, bits: int, number: int, scratch: Scratch) -> DataFrame:
-    """(a, b): of each bucket neighbours in the order of sketches (a fingerprint's first 64 bits), and all rows with the first and the last.
-
-    A few pairs a row, however large the bucket: they join most of a large group, so that its pairs need not be listed later.
-    """
-    share = bits_apart(similarity)
-    near = math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share)))
-    bucket = Window.partitionBy("key").orderBy(F.col("sketch").bitwiseXOR(F.xxhash64("key")), "id")
-    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    mine = F.struct("id", "sketch")
-    rows = _segments(distinct, bits, number).repartition("key")
-    rows = rows.withColumns({"n": F.lag(mine).over(bucket), "f": F.first(mine).over(whole), "l": F.last(mine).over(whole)})
-    rows = rows.select("id", "sketch", F.explode(F.array("n", "f", "l")).alias("o")).filter("o is not null and o.id != id")
-    rows = rows.filter(F.bit_count(F.col("sketch").bitwiseXOR(F.col("o.sketch"))) <= near)
-    pairs = scratch.keep(rows.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct(), "candidates")
-    both = pairs.join(distinct.select(F.col("id").alias("a"), F.col("fp").alias("fp_a")), "a").join(distinct.select(F.col("id").alias("b"), F.col("fp").alias("fp_b")), "b")
-    most = _apart(similarity)
-
-    def apart(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (2, 3))
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int32))], names=["a", "b", "bits"])
-
-    return map_batches(both.select("a", "b", "fp_a", "fp_b"), apart, "a long, b long, bits int").filter(F.col("bits") <= most).select("a", "b").distinct()
-
-
-def _all_pairs(distinct: DataFrame, classes: DataFrame, similarity: float, bits: int, number: int, scratch: Scratch) -> DataFrame:
-    """(a, b): all pairs of a shared bucket that classes (node, component) do not join yet and whose fingerprints are close."""
-    most = _apart(similarity)
-    nodes = distinct.join(classes, distinct["id"] == classes["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("part"))
-    nodes = scratch.keep(nodes, "nodes")
-    bucket = Window.partitionBy("key")
-    rows = _segments(nodes, bits, number, "part").repartition("key")
-    rows = rows.withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min("part").over(bucket), "high": F.max("part").over(bucket)})
-    rows = rows.filter("low < high").select("key", "id", "part", "n").join(distinct.select("id", "fp").distinct(), "id")
-    rows = block_pairs(rows, "key", "n").select("key", "lo", "hi", "mine", "id", "part", "fp")
-
-    def run(batches):
-        for batch, at in whole_groups(batches, ("key", "lo", "hi")):
-            ids, part, mine = (batch.column(k).to_numpy() for k in ("id", "part", "mine"))
-            cross = batch.column("lo").to_numpy() != batch.column("hi").to_numpy()
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(len(batch), -1)
-            end = np.repeat(at[1:], np.diff(at))
-            first, step = np.arange(len(batch)), 0
-            while True:  # each row with the one `step` places on, for all groups at once
-                step += 1
-                first = first[first + step < end[first]]
-                if not len(first):
-                    break
-                i = first[(part[first] != part[first + step]) & (~cross[first] | (mine[first] != mine[first + step]))]
-                i = i[np.bitwise_count(fps[i, 0] ^ fps[i + step, 0]) <= most]
-                i = i[np.bitwise_count(fps[i] ^ fps[i + step]).sum(1, dtype=np.int32) <= most]
-                if len(i):
-                    yield pa.record_batch([pa.array(np.minimum(ids[i], ids[i + step])), pa.array(np.maximum(ids[i], ids[i + step]))], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def wide_links(distinct: DataFrame, similarity: float = 0.8, sets: DataFrame | None = None) -> DataFrame:
-    """(a, b), a < b: links that join all pairs of ids in a shared bucket whose fingerprints and, if given, sets of shingles are close enough.
-
-    First a few pairs of each row of a bucket; then every other pair of a bucket, except where the first links have joined the two
-    already: only the groups matter. Crowded buckets are compared block by block, dealt to many tasks.
-    """
-    scratch = Scratch(distinct.sparkSession, "simhash-wide")
-    bits, number = segment_plan(distinct.count(), similarity)
-    verify = lambda pairs: pairs if sets is None else similar(pairs, sets, similarity)
-    some = scratch.keep(verify(scratch.keep(_chain_pairs(distinct, similarity, bits, number, scratch), "close")), "some")
-    rest = scratch.keep(verify(scratch.keep(_all_pairs(distinct, components(some), similarity, bits, number, scratch), "close")), "rest")
-    return some.unionAll(rest)
+    return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is the smallest of its group of near copies.
 
-    Rows without a doc_id stay, as they can't be told apart. Rows that share a doc_id stay or go together.
+    Texts without words (null, empty, white space) are copies of each other. Rows without a doc_id stay, as they can't be told apart. Rows
+    that repeat a doc_id are grouped each by its own text; equal ones stay or go together. Other columns may have any names. An empty
+    table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(wide_fingerprints(docs, shingle, id_col, text_col).filter("doc_id is not null"), "prints")
-    # one node for texts of equal sets; its id's set is theirs
-    groups = scratch.keep(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")), "distinct")
-    ids = groups.select("id", "fp")
-    found = components(wide_links(ids, similarity, prints.select("doc_id", "digest", "hashes")))
-    classes = groups.join(found, groups["id"] == found["node"], "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    gone = prints.select("doc_id", "digest").join(classes, "digest").filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = scratch.keep(gone, "gone")
+    found = NearCopies(prints, similarity).components()
+    name, sha = fresh("gone", docs), fresh("gone_sha", docs)
+    gone = scratch.keep(found.filter("doc_id != component_id").select(F.col("doc_id").alias(name), F.col("sha").alias(sha)).distinct(), "gone")
+    scratch.only(gone)
     # a filter over the ids that go spares the other documents the shuffle
-    may_go = F.coalesce(hit_filter(gone, F.col("__gone"), gone.count())(F.col(id_col).cast("long")), F.lit(False))
-    rest = docs.filter(may_go).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    may_go = F.coalesce(hit_filter(gone, F.col(name), gone.count())(F.col(id_col).cast("long")), F.lit(False))
+    rest = docs.filter(may_go).join(gone, (F.col(id_col).cast("long") == F.col(name)) & (_sha(F.coalesce(text_col, F.lit(""))) == F.col(sha)), "left_anti")
     return docs.filter(~may_go).unionByName(rest)

@@ -10,7 +10,7 @@ metadata, or some documents' ids, leaves other pages unread. A row's place in th
 (a few numbers, one for each file) and its start.
 
 Defined cases: a null text is empty and has the end id only. Rows that repeat a doc_id stand in the order of their text's
-hash. A null doc_id comes first. An empty table writes files without rows. Other columns are not read.
+hash. A null doc_id comes first. An empty table writes files without rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -112,8 +112,36 @@ def test_empty_corpus(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+#: Names that operators give to columns of their own, or did once.
+NAMES = "size ids fp score copies mix __mix __size __copy __score __text score_text __sha __id row sha own_sha gone gone_sha __gone rate rate_source source_size target salt heavy level weight kept keep_id digest key star off part id a b s0 s1 text_to_encode".split()
+
+
 def test_clashing_columns_pass_through(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"size": F.lit(1), "ids": F.lit("x"), "fp": F.lit("y"), "score": F.lit("z"), "copies": F.lit(0)})
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(150).withColumns({name: F.lit(name) for name in NAMES})
     for name, stage in pipeline.STAGES[:-1]:
-        assert stage(spark, docs, folder).columns == docs.columns, name
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.select(NAMES).distinct().collect()
+        assert [list(r) for r in rows] == [NAMES], name
     assert "ids" in pipeline.STAGES[-1][1](spark, docs, folder).columns
+
+
+def test_mixing_of_many_sources(spark, folder, monkeypatch):
+    """Rates joined by a salted shuffle give the same mixture as broadcast ones."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    count = lambda df: sorted((r.doc_id, r["count"]) for r in df.groupBy("doc_id").count().collect())
+    one = count(pipeline.mix_sources(spark, docs, folder))
+    monkeypatch.setattr(pipeline.mixing, "BROADCAST_BYTES", 0)
+    assert count(pipeline.mix_sources(spark, docs, folder)) == one
+
+
+@pytest.mark.parametrize("name", [name for name, _ in pipeline.STAGES])
+def test_nulls_in_any_column(spark, folder, name):
+    long = "word " * 60_000
+    rows = [(None, None, None, None, None), (1, None, None, None, None), (None, "a b c", None, "s", None), (2, "", "en", None, 0), (2, "", "en", None, 0), (3, long, None, "s", 1), (4, long + "x", "en", "s", None)]
+    out = dict(pipeline.STAGES)[name](spark, spark.createDataFrame(rows, COLUMNS), folder).collect()
+    assert len(out) <= 3 * len(rows)
+    if name == "near_dedup":
+        assert sorted((r.doc_id is None, r.doc_id) for r in out) == [(False, 1), (False, 3), (False, 4), (True, None), (True, None)]
+    if name == "exact_dedup":
+        assert sorted(r.doc_id or 0 for r in out) == [0, 1, 3, 4]
