@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import byte_bpe, mixing, quality, simhash
-from lexweave.llm.common import Scratch, table
+from lexweave.llm.common import Scratch, fresh, table
 from lexweave.llm.exact_dedup import ExactDedup
 
 #: A document whose quality score is below this goes.
@@ -20,32 +20,47 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from those labelled rows that are not held out."""
+    """Documents that the quality classifier accepts; it learns from those labelled rows that are not held out.
+
+    Null and empty texts have the score of no text; without labels of both classes all documents have one score. Rows that repeat
+    go or stay together. Columns are passed on, whatever their names. Without documents there is nothing to learn and none stays.
+    """
     learned = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, learned, keep=True).filter(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
+    score = fresh("score", docs)
+    return quality.score(docs, learned, keep=score).filter(F.col(score) >= QUALITY_THRESHOLD).drop(score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal up to white space, the one with the smallest doc_id."""
+    """Of documents equal up to white space, the one with the smallest doc_id; a null text is an empty one, a null doc_id comes last.
+
+    Rows that repeat with their doc_id: one stays, of rows that differ in other columns that of the smallest hash.
+    """
     return ExactDedup(docs).survivors()
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near copies."""
+    """One document, the one with the smallest doc_id, of each group of near copies.
+
+    Texts without words are one group. Rows without a doc_id stay; rows that repeat one are grouped each by its own text.
+    """
     return simhash.survivors(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mixture takes them."""
+    """The documents as often as the mixture takes them.
+
+    Documents without words count nothing, but are taken at their source's rate; a null source is a source. Rows that repeat a doc_id are taken equally often.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids, and whether the decoded ids are the text again."""
+    """doc_id, source, n_tokens, ids, and whether the decoded ids are the text again; a null text has no ids, rows that repeat one row each."""
     ranks = public_tokenizers.path(RANKS)
-    marked = docs.withColumn("__text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    coded = byte_bpe.encode(marked, ranks, public_tokenizers.PATTERN, keep=("source", "__text_sha256"), decoded=True)
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("__text_sha256")).alias("round_trip"))
+    sha = fresh("sha", docs)
+    marked = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    coded = byte_bpe.encode(marked, ranks, public_tokenizers.PATTERN, keep=("source", sha), decoded=True)
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col(sha)).alias("round_trip"))
 
 
 STAGES = [
