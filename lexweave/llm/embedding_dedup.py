@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from .common import Scratch, map_batches, whole_groups
-from .graph import components
+from .graph import components, smallest_reached
 
 #: Passes at least; passes_for() asks for more where a label has many rows.
 PASSES, WINDOW, BITS, RECALL = 16, 64, 64, 0.99
@@ -119,14 +119,7 @@ def _stars(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
     if not len(i):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     parts, at = np.unique(np.concatenate([part[i], part[j]]), return_inverse=True)
-    i, j, low = at[: len(i)], at[len(i) :], np.arange(len(parts))
-    while True:
-        least, before = np.minimum(low[i], low[j]), low.copy()
-        np.minimum.at(low, i, least)
-        np.minimum.at(low, j, least)
-        low = low[low]
-        if (low == before).all():
-            break
+    low = smallest_reached(at[: len(i)], at[len(i) :], len(parts))
     moved = np.flatnonzero(low != np.arange(len(parts)))
     return parts[moved], parts[low[moved]]
 

@@ -217,22 +217,35 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, sha (of the text), digest (of the set of shingles), hashes (the set), and the WORDS of its fingerprint."""
+    """doc_id, sha (of the text), digest (of the set of shingles), and the WORDS of its fingerprint."""
     Scratch(docs.sparkSession, "simhash")
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(t, shingle) for t in batch.column(2).to_pylist()]
-        offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
         prints = np.stack([wide_fingerprint(s) for s in sets]) if sets else np.zeros((0, WIDE_WORDS), np.int64)
-        digests = pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary())
-        return pa.record_batch([*batch.columns[:2], digests, pa.ListArray.from_arrays(offsets, values), *map(pa.array, prints.T.copy())], names=["doc_id", "sha", "digest", "hashes", *WORDS])
+        return pa.record_batch([*batch.columns[:2], pa.array(map(_digest, sets), pa.binary()), *map(pa.array, prints.T.copy())], names=["doc_id", "sha", "digest", *WORDS])
 
-    schema = "doc_id long, sha string, digest binary, hashes array<long>, " + ", ".join(f"{w} long" for w in WORDS)
+    schema = "doc_id long, sha string, digest binary, " + ", ".join(f"{w} long" for w in WORDS)
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), _sha(text).alias("sha"), text.alias("text")), run, schema)
 
 
+def shingle_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest, hashes (the set of shingles)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+        offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        return pa.record_batch([batch.column(0), pa.array(map(_digest, sets), pa.binary()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "digest", "hashes"])
+
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, digest binary, hashes array<long>")
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.sha256(hashes.tobytes()).digest()
+
+
 def _sha(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -276,21 +289,25 @@ def _differ(left: list[Column], right: list[Column]) -> Column:
 
 
 class NearCopies:
-    """Components of texts whose sets of shingles are similar, from wide_fingerprints()."""
+    """Components of texts whose sets of shingles are similar."""
 
-    def __init__(self, prints: DataFrame, similarity: float):
-        self.scratch, self.similarity = Scratch(prints.sparkSession, "near-copies"), similarity
+    def __init__(self, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"):
+        self.scratch, self.similarity = Scratch(docs.sparkSession, "near-copies"), similarity
+        self.docs, self.shingle, self.id, self.text = docs, shingle, id_col, text_col
         self.close = most_apart(similarity, 64 * SKETCH)
-        self.prints = prints
-        groups = prints.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(w).alias(w) for w in WORDS))
+        self.prints = self.scratch.keep(wide_fingerprints(docs, shingle, id_col, text_col).filter("doc_id is not null"), "prints")
+        groups = self.prints.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(w).alias(w) for w in WORDS))
         self.groups = self.scratch.keep(groups.withColumn("id", F.monotonically_increasing_id()), "distinct")
-        self.nodes = self.scratch.keep(self.groups.select("id", F.col("id").alias("part"), *WORDS), "nodes")
-        self.plan = segment_plan(self.nodes.count(), similarity)
+        self.nodes = self.groups.select("id", F.col("id").alias("part"), *WORDS)
+        self.plan = segment_plan(self.groups.count(), similarity)
 
-    def _sets(self, ids: DataFrame) -> DataFrame:
-        """id, hashes of these nodes, from one row of each."""
-        of = self.groups.select("id", "digest", "first").join(ids, "id", "left_semi").withColumnRenamed("first", "doc_id")
-        return self.prints.select("digest", "doc_id", "hashes").join(of, ["digest", "doc_id"]).select("id", "hashes").dropDuplicates(["id"])
+    def _sets(self, pairs: DataFrame) -> DataFrame:
+        """id, hashes of the nodes in pairs. Only documents that may be among them are read and cut into shingles again."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        of = self.scratch.keep(self.groups.select("id", "digest", F.col("first").alias("doc_id")).join(ids, "id", "left_semi"), "ends")
+        may_be = hit_filter(of, F.col("doc_id"), of.count())(F.col(self.id).cast("long"))
+        sets = shingle_sets(self.docs.filter(may_be), self.shingle, self.id, self.text)
+        return sets.join(of, ["digest", "doc_id"]).select("id", "hashes").dropDuplicates(["id"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of candidate pairs (a, b) whose whole distance and similarity allow a link."""
@@ -299,7 +316,9 @@ class NearCopies:
         both = pairs.join(ends[0], "a").join(ends[1], "b")
         apart = _differ([F.col(f"a_{w}") for w in WORDS], [F.col(f"b_{w}") for w in WORDS])
         near = self.scratch.keep(both.filter(apart <= most_apart(self.similarity, WIDE_BITS)).select("a", "b"), "near")
-        sets = self.scratch.keep(self._sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+        if near.isEmpty():
+            return near
+        sets = self.scratch.keep(self._sets(near), "sets")
         out = self.scratch.keep(similar(near, sets, self.similarity), "links")
         self.scratch.drop(pairs, near, sets)
         return out
@@ -314,7 +333,7 @@ class NearCopies:
         found = components(ends.select("x", "y"), "x", "y")
         moved = self.nodes.join(found, self.nodes["part"] == found["node"], "left")
         before, self.nodes = self.nodes, self.scratch.keep(moved.select("id", F.coalesce("component", "part").alias("part"), *WORDS), "nodes")
-        self.scratch.drop(before, links, found)
+        self.scratch.drop(*(df for df in (before, links) if hasattr(df, "lexweave_path")))
 
     def _stars(self) -> DataFrame:
         """(a, b): each node and the first, in a random order, of its bucket under longer keys."""
@@ -356,7 +375,7 @@ class NearCopies:
         return found.filter((F.col("part") != F.col("part_b")) & ((F.col("off") == 1) | (F.col("a") < F.col("b"))) & close).select("a", "b")
 
     def components(self) -> DataFrame:
-        """(doc_id, sha, component_id) of each row of prints; component_id is the smallest doc_id of the group."""
+        """(doc_id, sha, component_id) of each row with a doc_id; component_id is the smallest doc_id of the group."""
         self.join_parts(self._stars())
         if (pairs := self._to_filled()) is not None:
             self.join_parts(pairs)
@@ -396,11 +415,9 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col
     table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(wide_fingerprints(docs, shingle, id_col, text_col).filter("doc_id is not null"), "prints")
-    found = NearCopies(prints, similarity).components()
+    found = NearCopies(docs, shingle, similarity, id_col, text_col).components()
     name, sha = fresh("gone", docs), fresh("gone_sha", docs)
     gone = scratch.keep(found.filter("doc_id != component_id").select(F.col("doc_id").alias(name), F.col("sha").alias(sha)).distinct(), "gone")
-    scratch.only(gone)
     # a filter over the ids that go spares the other documents the shuffle
     may_go = F.coalesce(hit_filter(gone, F.col(name), gone.count())(F.col(id_col).cast("long")), F.lit(False))
     rest = docs.filter(may_go).join(gone, (F.col(id_col).cast("long") == F.col(name)) & (_sha(F.coalesce(text_col, F.lit(""))) == F.col(sha)), "left_anti")

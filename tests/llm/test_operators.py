@@ -547,7 +547,9 @@ def test_repeated_ids_keep_their_own_text(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(3, text + " more"), (5, other), (None, text)], key=str)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1 << 18, 60])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     draw = random.Random(9)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(5001, 5300)] + [(7, 7), (None, 3)]
     parent = {}
