@@ -6,7 +6,7 @@ included; a bit of the fingerprint is 1 if it is set in over half the shingles'
 Links. Fingerprints, each different one once, are cut into segments. If two differ in at most `distance` bits, then some
 segment differs in at most its radius, as long as the radii + 1 add up to more than distance. So each fingerprint is looked up
 under every key in the Hamming ball of that radius around each of its segments, and the whole distance of each table match is verified.
-A bucket with more than CROWD fingerprints would be compared with itself; its look-ups instead list the fingerprints that
+A bucket with more than CROWDED_PRINTS fingerprints would be compared with itself; its look-ups instead list the fingerprints that
 may match (the ball of the distance left over, around the other bits) and find them by equality: linear, and exact too.
 A fingerprint has at most a few thousand others within distance 2, so links stay linear in the number of fingerprints.
 
@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, map_batches
+from .common import Scratch, fresh, map_batches, whole_groups
 from .exact_dedup import hit_filter
 from .graph import components
 
 SEED = 42
 #: (first bit, bits, radius) of the segments: radii 1 and 0 prove distance 2, as (1 + 1) + (0 + 1) > 2.
 SEGMENTS = ((0, 32, 1), (32, 32, 0))
-CROWD = 2000
+CROWDED_PRINTS = 2000
 _STEP = 1 << 16
 
 
@@ -81,7 +81,7 @@ def _key(fp: Column, first: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit(_signed((1 << bits) - 1)))
 
 
-def links(distinct: DataFrame, distance: int = 2, segments=SEGMENTS, crowd: int = CROWD) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 2, segments=SEGMENTS, crowd: int = CROWDED_PRINTS) -> DataFrame:
     """(a, b), a < b: the pairs of different fingerprints fp within distance; distinct has each fp once."""
     if sum(r + 1 for _, _, r in segments) <= distance:
         raise ValueError("the radii do not prove the distance")
@@ -115,7 +115,7 @@ def links(distinct: DataFrame, distance: int = 2, segments=SEGMENTS, crowd: int
     return calm.unionAll(exact).distinct()
 
 
-def near_dedup(prints: DataFrame, distance: int = 2, segments=SEGMENTS, crowd: int = CROWD) -> DataFrame:
+def near_dedup(prints: DataFrame, distance: int = 2, segments=SEGMENTS, crowd: int = CROWDED_PRINTS) -> DataFrame:
     """doc_id, fp, component_id of each row of prints (doc_id, fp)."""
     scratch = Scratch(prints.sparkSession, "simhash")
     prints = scratch.keep(prints, "prints")
@@ -138,13 +138,16 @@ def hexadecimal(fp: Column) -> Column:
 #
 # 1. texts of equal sets of shingles are one node;
 # 2. nodes that agree in a segment and STAR_BITS more bits are compared with one node of their bucket, and each node with one node of
-#    any component that fills a bucket it can see: a few pairs a node, which join most of a large group;
-# 3. each node is looked up under all keys of the Hamming ball of radius 1 around its segments, in batches of segments. The
-#    table matches are compared where they are found, but for those of one component, and components are joined after each batch.
+#    any class that fills a bucket it can see: a few pairs a node, which join most of a large group. Pairs within ALIKE bits
+#    also make classes of nodes that are alike, copies or not (texts that fill in one form, say);
+# 3. a class of more than CROWD nodes is compared in full, block by block, dealt to many tasks, which hand on links only;
+# 4. each node is looked up under all keys of the Hamming ball of radius 1 around its segments, in batches of segments. The
+#    table matches are compared where they are found, but for those of one component or of one such class, and components are
+#    joined after each batch.
 #
-# Every match is verified by its whole distance and then by the exact Jaccard similarity. A component that fills a bucket is kept apart
-# there, so its own pairs are never met: a group of g nodes costs about g pairs. Nothing is capped; a bucket shared by many texts
-# that are alike but no copies is compared in full, inside a join that Spark splits.
+# Every match is verified by its whole distance and then by the exact Jaccard similarity. A component or class that fills a bucket is
+# kept apart there, so its own pairs are never met: a group of g nodes costs about g pairs. Nothing is capped. What grows with
+# the square of a group's size is the comparison of nodes that are alike but no copies (step 3); it lists no pairs.
 
 #: 64-bit words of a wide fingerprint, of which SKETCH travel with each look-up; the recall aimed at for pairs of just the least similarity.
 WIDE_WORDS, SKETCH, RECALL = 8, 2, 0.95
@@ -153,6 +156,9 @@ WIDE_BITS = 64 * WIDE_WORDS
 FILL_BITS, STAR_BITS = 5, 7
 #: Nodes of one component from which a bucket keeps it apart; segments at least, and of a batch.
 CROWDED, LEAST_SEGMENTS, TOGETHER = 64, 6, 6
+#: Share of the bits in which nodes that are alike may differ (a similarity of about 0.55); nodes of a class from which it is
+#: compared block by block, and of a block.
+ALIKE, CROWD, BLOCK = 0.25, 256, 1024
 WORDS = [f"f{k}" for k in range(WIDE_WORDS)]
 _SPREAD = np.random.default_rng(97).integers(1, 1 << 63, WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -251,7 +257,7 @@ def _sha(text: Column) -> Column:
 
 
 def _entries(nodes: DataFrame, plan: tuple[int, int], tables: range, radius: int) -> DataFrame:
-    """Of nodes (id, part, WORDS), a row for each key in the balls around these segments: key, star, off, id, part, s0, s1.
+    """Of nodes (id, part, WORDS), a row for each key in the balls around these segments: key, star, off, id, part, s0, s1. part is any class.
 
     Of two fingerprints that differ in one bit of a segment one has a 0 there, so a ball of radius 1 lists only keys with a 0 turned to 1.
     """
@@ -294,79 +300,130 @@ class NearCopies:
     def __init__(self, docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"):
         self.scratch, self.similarity = Scratch(docs.sparkSession, "near-copies"), similarity
         self.docs, self.shingle, self.id, self.text = docs, shingle, id_col, text_col
-        self.close = most_apart(similarity, 64 * SKETCH)
+        # bits of a sketch in which nodes that are close, and those that are alike, differ at most
+        self.close, self.alike = most_apart(similarity, 64 * SKETCH), int(1.25 * ALIKE * 64 * SKETCH)
         self.prints = self.scratch.keep(wide_fingerprints(docs, shingle, id_col, text_col).filter("doc_id is not null"), "prints")
         groups = self.prints.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.min(w).alias(w) for w in WORDS))
         self.groups = self.scratch.keep(groups.withColumn("id", F.monotonically_increasing_id()), "distinct")
-        self.nodes = self.groups.select("id", F.col("id").alias("part"), *WORDS)
+        self.nodes = self.groups.select("id", F.col("id").alias("part"), F.col("id").alias("alike"), *WORDS)
         self.plan = segment_plan(self.groups.count(), similarity)
 
-    def _sets(self, pairs: DataFrame) -> DataFrame:
-        """id, hashes of the nodes in pairs. Only documents that may be among them are read and cut into shingles again."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def _sets(self, ids: DataFrame) -> DataFrame:
+        """id, hashes of these nodes. Only documents that may be among them are read and cut into shingles again."""
         of = self.scratch.keep(self.groups.select("id", "digest", F.col("first").alias("doc_id")).join(ids, "id", "left_semi"), "ends")
         may_be = hit_filter(of, F.col("doc_id"), of.count())(F.col(self.id).cast("long"))
         sets = shingle_sets(self.docs.filter(may_be), self.shingle, self.id, self.text)
         return sets.join(of, ["digest", "doc_id"]).select("id", "hashes").dropDuplicates(["id"])
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of candidate pairs (a, b) whose whole distance and similarity allow a link."""
+    def _measured(self, pairs: DataFrame, most: int) -> DataFrame:
+        """a, b, bits: the different pairs whose fingerprints differ in at most so many bits."""
         pairs = self.scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        ends = [self.nodes.select(F.col("id").alias(end), *(F.col(w).alias(f"{end}_{w}") for w in WORDS)) for end in ("a", "b")]
+        ends = [self.groups.select(F.col("id").alias(end), *(F.col(w).alias(f"{end}_{w}") for w in WORDS)) for end in ("a", "b")]
         both = pairs.join(ends[0], "a").join(ends[1], "b")
-        apart = _differ([F.col(f"a_{w}") for w in WORDS], [F.col(f"b_{w}") for w in WORDS])
-        near = self.scratch.keep(both.filter(apart <= most_apart(self.similarity, WIDE_BITS)).select("a", "b"), "near")
-        if near.isEmpty():
-            return near
-        sets = self.scratch.keep(self._sets(near), "sets")
+        bits = _differ([F.col(f"a_{w}") for w in WORDS], [F.col(f"b_{w}") for w in WORDS])
+        out = self.scratch.keep(both.select("a", "b", bits.alias("bits")).filter(F.col("bits") <= most), "close")
+        self.scratch.drop(pairs)
+        return out
+
+    def _links(self, close: DataFrame) -> DataFrame:
+        """a, b: those of measured pairs that are similar."""
+        near = close.filter(F.col("bits") <= most_apart(self.similarity, WIDE_BITS)).select("a", "b")
+        sets = self.scratch.keep(self._sets(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
         out = self.scratch.keep(similar(near, sets, self.similarity), "links")
-        self.scratch.drop(pairs, near, sets)
+        self.scratch.drop(sets)
         return out
 
-    def join_parts(self, pairs: DataFrame) -> None:
-        """Verify candidates and contract the components that they join."""
-        links = self.verified(pairs)
-        if links.isEmpty():
-            return
-        part = self.nodes.select("id", "part")
-        ends = links.join(part.withColumnsRenamed({"id": "a", "part": "x"}), "a").join(part.withColumnsRenamed({"id": "b", "part": "y"}), "b")
-        found = components(ends.select("x", "y"), "x", "y")
-        moved = self.nodes.join(found, self.nodes["part"] == found["node"], "left")
-        before, self.nodes = self.nodes, self.scratch.keep(moved.select("id", F.coalesce("component", "part").alias("part"), *WORDS), "nodes")
-        self.scratch.drop(*(df for df in (before, links) if hasattr(df, "lexweave_path")))
+    def _contract(self, **pairs: DataFrame) -> None:
+        """Join the classes of each named column that its pairs (a, b) connect."""
+        nodes = self.nodes
+        for column, some in pairs.items():
+            now = self.nodes.select("id", column)
+            ends = some.select("a", "b").join(now.withColumnsRenamed({"id": "a", column: "x"}), "a").join(now.withColumnsRenamed({"id": "b", column: "y"}), "b")
+            found = components(ends.select("x", "y"), "x", "y").withColumnsRenamed({"node": column, "component": "to"})
+            nodes = nodes.join(found, column, "left").withColumn(column, F.coalesce("to", column)).drop("to")
+        self.nodes = self.scratch.keep(nodes.select("id", "part", "alike", *WORDS), "nodes")
+
+    def _seen_as(self, column: Column, nodes: DataFrame | None = None) -> DataFrame:
+        return (nodes or self.nodes).select("id", column.alias("part"), *WORDS)
 
     def _stars(self) -> DataFrame:
         """(a, b): each node and the first, in a random order, of its bucket under longer keys."""
-        rows = _entries(self.nodes, self.plan, range(self.plan[1]), 0)
+        rows = _entries(self._seen_as(F.col("part")), self.plan, range(self.plan[1]), 0)
         node = F.struct(F.xxhash64("id", "star").alias("order"), "id", "s0", "s1")
         first = rows.groupBy("star").agg(F.min(node).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("star", "f")
         both = rows.join(first, "star").filter(F.col("id") != F.col("f.id"))
-        return both.filter(_differ([F.col("s0"), F.col("s1")], [F.col("f.s0"), F.col("f.s1")]) <= self.close).select(F.col("id").alias("a"), F.col("f.id").alias("b"))
+        return both.filter(_differ([F.col("s0"), F.col("s1")], [F.col("f.s0"), F.col("f.s1")]) <= self.alike).select(F.col("id").alias("a"), F.col("f.id").alias("b"))
 
     def _filled(self, centres: DataFrame) -> DataFrame:
-        """key, dom, rep: the component that fills a bucket, if one does, and one of its nodes there."""
+        """key, dom, rep: the class that fills a bucket, if one does, and one of its nodes there."""
         by_part = centres.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("id", "key").alias("order"), "id", "s0", "s1")).alias("rep")).filter(F.col("n") > CROWDED)
         most = by_part.groupBy("key").agg(F.max(F.struct("n", "part", "rep")).alias("x"))
         return self.scratch.keep(most.select("key", F.col("x.part").alias("dom"), F.col("x.rep").alias("rep")), "filled")
 
     def _to_filled(self) -> DataFrame | None:
-        """(a, b): each node and one node of every other component that fills a bucket in its balls."""
-        every = range(self.plan[1])
-        filled = self._filled(_entries(self.nodes, self.plan, every, 0))
+        """(a, b): each node and one node of every other class that fills a bucket in its balls."""
+        every, nodes = range(self.plan[1]), self._seen_as(F.col("alike"))
+        filled = self._filled(_entries(nodes, self.plan, every, 0))
         if filled.isEmpty():
             return None
-        both = _entries(self.nodes, self.plan, every, 1).join(filled, "key").filter("part != dom")
-        return both.filter(_differ([F.col("s0"), F.col("s1")], [F.col("rep.s0"), F.col("rep.s1")]) <= self.close).select(F.col("id").alias("a"), F.col("rep.id").alias("b"))
-
-    def _matches(self, tables: range) -> DataFrame:
-        """(a, b): all table matches of different components under these segments whose sketches are close."""
-        centres, probes = (_entries(self.nodes, self.plan, tables, radius) for radius in (0, 1))
+        both = _entries(nodes, self.plan, every, 1).join(filled, "key").filter("part != dom")
+        return both.filter(_differ([F.col("s0"), F.col("s1")], [F.col("rep.s0"), F.col("rep.s1")]) <= self.alike).select(F.col("id").alias("a"), F.col("rep.id").alias("b"))
+
+    def _inside_crowds(self, crowds: DataFrame) -> DataFrame:
+        """(a, b): links that connect what all similar pairs inside these classes (alike) connect, but for pairs of one component."""
+        sizes = self.nodes.join(crowds, "alike", "left_semi").groupBy("alike", "part").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.groupBy("alike").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"))
+        sizes = sizes.select("alike", F.col("most.part").alias("dom"), F.col("most.n").alias("n_core"), (F.col("all") - F.col("most.n")).alias("n_other")).filter("n_other > 0")
+        rows = self.scratch.keep(self.nodes.join(sizes, "alike"), "crowds")
+        sets = self._sets(rows.select("id"))
+        # blocks of others come first; each meets every block, a block of the largest component only those of others
+        others, cores = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("n_other", "n_core"))
+        core = F.col("part") == F.col("dom")
+        block = F.when(core, others + F.pmod(F.xxhash64("id"), cores)).otherwise(F.pmod(F.xxhash64("id"), others)).cast("int")
+        last = F.when(core, others).otherwise(others + cores) - 1
+        rows = rows.join(sets, "id").withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        rows = rows.select("alike", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "part", *WORDS, "hashes")
+        rows = rows.repartition("alike", "lo", "hi").sortWithinPartitions("alike", "lo", "hi")
+        most, similarity = most_apart(self.similarity, WIDE_BITS), self.similarity
+
+        def run(batches):
+            for batch, at in whole_groups(batches, ("alike", "lo", "hi")):
+                lo, hi, mine, ids, part = (batch.column(k).to_numpy() for k in ("lo", "hi", "mine", "id", "part"))
+                words = np.column_stack([batch.column(w).to_numpy() for w in WORDS]).view(np.uint64)
+                hashes, ends = batch.column("hashes").flatten().to_numpy(), np.cumsum([0, *batch.column("hashes").value_lengths().to_pylist()])
+                a, b = [], []
+                for s, e in zip(at, at[1:], strict=False):
+                    parts, low = np.unique(part[s:e], return_inverse=True)
+                    joined = list(range(len(parts)))
+
+                    def root(x, joined=joined):
+                        while joined[x] != x:
+                            joined[x] = x = joined[joined[x]]
+                        return x
+
+                    left, right = (s + np.flatnonzero(mine[s:e] == side[s]) for side in (lo, hi))
+                    for x in left.tolist():
+                        to = right[right > x] if lo[s] == hi[s] else right
+                        to = to[(part[to] != part[x]) & (np.bitwise_count(words[to] ^ words[x]).sum(1, dtype=np.int32) <= most)]
+                        for y in to.tolist():
+                            p, q = root(low[x - s]), root(low[y - s])
+                            if p != q and jaccard(hashes[ends[x] : ends[x + 1]], hashes[ends[y] : ends[y + 1]], similarity):
+                                joined[max(p, q)] = min(p, q)
+                                a.append(ids[x])
+                                b.append(ids[y])
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        return self.scratch.keep(rows.mapInArrow(run, "a long, b long"), "links")
+
+    def _matches(self, nodes: DataFrame, tables: range) -> DataFrame:
+        """(a, b): all table matches of different classes (part) under these segments whose sketches are close."""
+        centres, probes = (_entries(nodes, self.plan, tables, radius) for radius in (0, 1))
         filled = self._filled(centres)
         on = ["key"]
         if not filled.isEmpty():
             filled, on = filled.select("key", "dom"), ["key", "inside"]
             centres = centres.join(filled, "key", "left").withColumn("inside", F.coalesce(F.col("part") == F.col("dom"), F.lit(False)))
-            # nodes of the component that fills a bucket look for the others only
+            # nodes of the class that fills a bucket look for the others only
             sides = F.when(F.col("dom").isNull() | (F.col("part") == F.col("dom")), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
             probes = probes.join(filled, "key", "left").withColumn("inside", F.explode(sides))
         b = centres.select(*on, F.col("id").alias("b"), F.col("part").alias("part_b"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
@@ -376,11 +433,17 @@ class NearCopies:
 
     def components(self) -> DataFrame:
         """(doc_id, sha, component_id) of each row with a doc_id; component_id is the smallest doc_id of the group."""
-        self.join_parts(self._stars())
-        if (pairs := self._to_filled()) is not None:
-            self.join_parts(pairs)
+        for step in (self._stars, self._to_filled):
+            if (pairs := step()) is not None:
+                close = self._measured(pairs, int(ALIKE * WIDE_BITS))
+                self._contract(part=self._links(close), alike=close)
+        crowds = self.scratch.keep(self.nodes.groupBy("alike").count().filter(F.col("count") > CROWD).select("alike", F.lit(True).alias("crowd")), "big")
+        if not crowds.isEmpty():
+            self._contract(part=self._inside_crowds(crowds))
         for first in range(0, self.plan[1], TOGETHER):
-            self.join_parts(self._matches(range(first, min(self.plan[1], first + TOGETHER))))
+            seen = self._seen_as(F.when(F.col("crowd"), F.col("alike")).otherwise(F.col("part")), self.nodes.join(crowds, "alike", "left"))
+            pairs = self._matches(seen, range(first, min(self.plan[1], first + TOGETHER)))
+            self._contract(part=self._links(self._measured(pairs, most_apart(self.similarity, WIDE_BITS))))
         classes = self.groups.select("digest", "id", "first").join(self.nodes.select("id", "part"), "id")
         lowest = classes.groupBy("part").agg(F.min("first").alias("component_id"))
         classes = classes.join(lowest, "part").select("digest", "component_id")
@@ -389,6 +452,15 @@ class NearCopies:
         return out
 
 
+def jaccard(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as sorted arrays, have at least this similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    either = np.sort(np.concatenate([x, y]))
+    common = np.count_nonzero(either[1:] == either[:-1])
+    return bool(common >= similarity * (len(either) - common) - 1e-9)
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of distinct pairs (a, b) whose sets of shingles (id, hashes) have at least this Jaccard similarity."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
@@ -397,11 +469,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         keep = np.zeros(len(batch), bool)
         (xs, at_x), (ys, at_y) = ((batch.column(k).flatten().to_numpy(), np.cumsum([0, *batch.column(k).value_lengths().to_pylist()])) for k in (2, 3))
         for k in range(len(batch)):
-            x, y = xs[at_x[k] : at_x[k + 1]], ys[at_y[k] : at_y[k + 1]]
-            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
-                either = np.sort(np.concatenate([x, y]))
-                common = np.count_nonzero(either[1:] == either[:-1])
-                keep[k] = common >= similarity * (len(either) - common) - 1e-9
+            keep[k] = jaccard(xs[at_x[k] : at_x[k + 1]], ys[at_y[k] : at_y[k + 1]], similarity)
         return pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long")

@@ -474,10 +474,11 @@ def similar_groups(texts, similarity=0.8, shingle=5):
     return [root(k) + 1 for k in range(len(texts))]
 
 
-@pytest.mark.parametrize("crowded", [2, 64])
-def test_near_copies_in_a_crowd(spark, monkeypatch, crowded):
-    """Texts that share most of their words, some with a copy, beside one large group: as all pairs, whether buckets are filled or not."""
-    monkeypatch.setattr(simhash, "CROWDED", crowded)
+@pytest.mark.parametrize(("crowded", "crowd", "block"), [(2, 256, 1024), (64, 256, 1024), (64, 20, 50)])
+def test_near_copies_in_a_crowd(spark, monkeypatch, crowded, crowd, block):
+    """Texts that share most of their words, some with a copy, beside one large group: as all pairs, whether buckets are filled, classes compared by blocks, or not."""
+    for name, value in (("CROWDED", crowded), ("CROWD", crowd), ("BLOCK", block)):
+        monkeypatch.setattr(simhash, name, value)
     draw = random.Random(31)
     fresh = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
     passage, texts = fresh(200), []
