@@ -442,8 +442,10 @@ class NearCopies:
             self._contract(part=self._inside_crowds(crowds))
         for first in range(0, self.plan[1], TOGETHER):
             seen = self._seen_as(F.when(F.col("crowd"), F.col("alike")).otherwise(F.col("part")), self.nodes.join(crowds, "alike", "left"))
+            seen = self.scratch.keep(seen, "seen")
             pairs = self._matches(seen, range(first, min(self.plan[1], first + TOGETHER)))
             self._contract(part=self._links(self._measured(pairs, most_apart(self.similarity, WIDE_BITS))))
+            self.scratch.drop(seen)
         classes = self.groups.select("digest", "id", "first").join(self.nodes.select("id", "part"), "id")
         lowest = classes.groupBy("part").agg(F.min("first").alias("component_id"))
         classes = classes.join(lowest, "part").select("digest", "component_id")
