@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Generator
+from collections.abc import Generator, Iterator
 from itertools import groupby
 
 from ..config import DEFAULT, Config
@@ -68,46 +68,20 @@ def _around(long: str, short: str, start: int) -> tuple[int, int, int]:
     return best
 
 
-class _Frontier:
-    """Furthest reaching paths of one direction, by diagonal."""
-
-    def __init__(self, a: str, b: str, half: int):
-        self.a, self.b, self.n, self.m, self.half = a, b, len(a), len(b), half
-        self.reach = [-1] * (2 * half + 2)
-        self.reach[half + 1] = 0
-        self.skip_low = self.skip_high = 0
-
-    def known(self, k: int) -> int:
-        """How far diagonal k was reached, or -1."""
-        at = self.half + k
-        return self.reach[at] if 0 <= at < 2 * self.half else -1
-
-    def advance(self, d: int, other: _Frontier | None) -> tuple[int, int] | None:
-        """Paths of d edits. With other (the other direction's paths): (diagonal, reach) where they first meet it."""
-        a, b, n, m, reach, half = self.a, self.b, self.n, self.m, self.reach, self.half
-        delta = n - m
-        k = -d + self.skip_low
-        while k <= d - self.skip_high:
-            at = half + k
-            if k == -d or (k != d and reach[at - 1] < reach[at + 1]):
-                x = reach[at + 1]
-            else:
-                x = reach[at - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            reach[at] = x
-            if x > n:
-                self.skip_high += 2
-            elif y > m:
-                self.skip_low += 2
-            elif other is not None:
-                back = other.known(delta - k)
-                if back >= 0 and x + back >= n:
-                    return k, x
-            k += 2
-        return None
+def _step(a: str, b: str, d: int, reach: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """From the furthest places that d - 1 edits reach, by diagonal k = x - y, those that d edits reach; reach is renewed on the way."""
+    n, m = len(a), len(b)
+    for k in range(-d, d + 1, 2):
+        x = max(reach.get(k - 1, -2) + 1, reach.get(k + 1, -1)) if d else 0
+        y = x - k
+        if x < 0 or x > n or y > m:
+            reach.pop(k, None)  # outside the grid: the paths of this diagonal are at their end
+            continue
+        while x < n and y < m and a[x] == b[y]:
+            x += 1
+            y += 1
+        reach[k] = x
+        yield k, x
 
 
 class _Search:
@@ -173,23 +147,25 @@ class _Search:
         return out
 
     def _meet(self, a: str, b: str) -> tuple[int, int] | None:
-        """A place that a shortest script passes through, or None if the budget ends."""
+        """A place that a shortest script passes through, or None if the budget ends.
+
+        Furthest reaching paths from both ends (Myers 1986): the first forward and backward ones that overlap on a diagonal make a
+        shortest script. Its length has the parity of len(a) - len(b), which tells the direction that closes the gap.
+        """
         n, m = len(a), len(b)
-        half = (n + m + 1) // 2
-        ahead, back = _Frontier(a, b, half), _Frontier(a[::-1], b[::-1], half)
-        odd = (n - m) % 2 != 0
-        for d in range(half):
+        ahead: dict[int, int] = {}
+        back: dict[int, int] = {}
+        ends = a[::-1], b[::-1]
+        odd = (n - m) % 2 == 1
+        for d in range((n + m + 1) // 2):
             if self.left is not None:
                 if self.left <= 0:
                     return None
                 self.left -= 2 * (d + 1)
-            met = ahead.advance(d, back if odd else None)
-            if met:
-                k, x = met
-                return x, x - k
-            met = back.advance(d, None if odd else ahead)
-            if met:
-                k = n - m - met[0]
-                x = ahead.known(k)
-                return x, x - k
+            for k, x in _step(a, b, d, ahead):
+                if odd and n - m - k in back and x + back[n - m - k] >= n:
+                    return x, x - k
+            for k, x in _step(*ends, d, back):
+                if not odd and n - m - k in ahead and x + ahead[n - m - k] >= n:
+                    return ahead[n - m - k], ahead[n - m - k] - (n - m - k)
         return None
