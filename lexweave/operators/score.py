@@ -1,8 +1,7 @@
 """Scores of documents against the licence catalogue.
 
 `line`: the share of a document's characters in sentences that also occur in the licence. Native: the catalogue's sentences (under
-2,000 rows, whatever the documents) are broadcast, only matching sentences are aggregated, and a document's scores are one array in
-its row, so nothing is multiplied by the catalogue.
+2,000, whatever the documents) are a constant, and a document's scores are one array made inside its row: one scan, no shuffle.
 
 `diff` and `exact`: the share of a document's characters that a diff leaves equal. One Arrow pass over the documents; the catalogue is
 held by the workers, so no text is repeated for each pair. `exact` searches without limit, `diff` within the config's budget.
@@ -10,6 +9,8 @@ held by the workers, so no text is repeated for each pair. `exact` searches with
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import replace
 
 import pyarrow as pa
@@ -38,27 +39,47 @@ def rounded(pct: Column) -> Column:
     return F.floor(pct + 0.5)
 
 
-def catalog_sentences(catalog: DataFrame) -> DataFrame:
-    """sentence, ords: the licences that a sentence occurs in."""
-    each = catalog.select("ord", F.explode(text_functions.lines(F.col("norm_text"))).alias("sentence")).distinct()
-    return each.groupBy("sentence").agg(F.array_sort(F.collect_list("ord")).alias("ords"))
+#: Buckets of the constant table of sentences: a look-up compares with one or two of them.
+BUCKETS = 4096
 
 
-def line_scores(docs: DataFrame, catalog: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, scores: one struct (ord, mct, pct) for each licence in order, for each non-empty document."""
+def sentence_table(catalog: DataFrame) -> Column:
+    """array<array<struct<sentence, ords>>>, a constant: under 2,000 sentences of the 19 licences, by CRC-32 modulo BUCKETS."""
+    ords: dict[str, set[int]] = {}
+    for ord_, sentences in catalog.select("ord", text_functions.lines(F.col("norm_text"))).collect():  # one row a licence
+        for sentence in sentences:
+            ords.setdefault(sentence, set()).add(ord_)
+    table: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for sentence, found in ords.items():
+        table[zlib.crc32(sentence.encode()) % BUCKETS].append({"sentence": sentence, "ords": sorted(found)})
+    return F.from_json(F.lit(json.dumps(table)), "array<array<struct<sentence:string,ords:array<int>>>>")
+
+
+def line_scores(docs: DataFrame, catalog: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_norm: bool = False) -> DataFrame:
+    """doc_id, n_chars, scores: one struct (ord, mct, pct) for each licence in order, for each non-empty document; with keep_norm also its norm.
+
+    All is done inside the row, without a join or shuffle, so rows that repeat a doc_id, or have none, are scored each.
+    """
     rows = non_empty(docs, text_col).select(F.col(id_col).alias("doc_id"), text_functions.normalize(F.col(text_col)).alias("norm"))
-    known = F.broadcast(catalog_sentences(catalog))
-    found = rows.select("doc_id", F.explode(text_functions.lines(F.col("norm"))).alias("sentence")).join(known, "sentence")
-    found = found.select("doc_id", F.explode("ords").alias("ord"), F.length("sentence").cast("long").alias("n")).groupBy("doc_id", "ord").agg(F.sum("n").alias("mct"))
-    found = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("ord", "mct"))).alias("found"))
-    every = list(range(len(licences.LICENSES)))
-    rows = rows.select("doc_id", F.length("norm").alias("n_chars")).join(found, "doc_id", "left")
-
-    def score(ord_: Column) -> Column:
-        mct = F.coalesce(F.try_element_at("found", ord_), F.lit(0).cast("long"))
-        return F.struct(ord_.alias("ord"), mct.alias("mct"), percent(mct, F.col("n_chars")).alias("pct"))
-
-    return rows.select("doc_id", "n_chars", F.transform(F.array(*map(F.lit, every)), score).alias("scores"))
+    table = sentence_table(catalog)
+    every = F.sequence(F.lit(0), F.lit(len(licences.LICENSES) - 1))
+
+    def hit(line: Column) -> Column:
+        bucket = F.element_at(table, (F.crc32(line.cast("binary")) % BUCKETS + 1).cast("int"))
+        return F.struct(F.length(line).cast("long").alias("n"), F.get(F.filter(bucket, lambda x: x["sentence"] == line), F.lit(0))["ords"].alias("ords"))
+
+    def score(hits: Column, n_chars: Column) -> Column:
+        def one(ord_: Column) -> Column:
+            mct = F.aggregate(hits, F.lit(0).cast("long"), lambda n, h: n + F.when(F.array_contains(h["ords"], ord_), h["n"]).otherwise(0))
+            return F.struct(ord_.alias("ord"), mct.alias("mct"), percent(mct, n_chars).alias("pct"))
+
+        return F.transform(every, one)
+
+    # a lambda's argument is evaluated once, a column that is put into a lambda for each licence
+    hits = F.filter(F.transform(text_functions.lines(F.col("norm")), hit), lambda h: h["ords"].isNotNull())
+    bound = F.array(F.struct(hits.alias("hits"), F.length("norm").alias("n_chars")))
+    scores = F.transform(bound, lambda x: score(x["hits"], x["n_chars"]))[0]
+    return rows.select("doc_id", F.length("norm").alias("n_chars"), scores.alias("scores"), *(["norm"] if keep_norm else []))
 
 
 def compare(document: str, licence: str, config: Config = DEFAULT) -> segments.Diff:

@@ -1,73 +1,46 @@
-"""Small inputs that queries and their SQL share: literal diffs, a literal ranking, patch headers."""
+"""Inputs that queries and their SQL build alike from whole tables: a diff, a place and a patch header for each part, and literal rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from .. import schema
-
-#: (id, place, diff)
-DIFFS = (
-    (0, 2, [(-1, "a"), (1, "1234"), (0, "xyz")]),
-    (1, 3, [(0, "a"), (-1, "1234"), (0, "xyz")]),
-    (2, 5, [(0, "jump"), (-1, "s"), (1, "ed"), (0, " over "), (-1, "the"), (1, "a"), (0, " lazy")]),
-    (3, 0, [(0, "a\n"), (-1, "<B>b</B>"), (1, "c&d")]),
-    (4, 4, [(-1, "abc"), (0, "xyz"), (1, "1234")]),
-    (5, 1, []),
-)
-
-#: (doc_id, rank, name, url, pct, diff_html)
-RANKING = (
-    (1, 1, "MIT License", "https://opensource.org/licenses/MIT", 12.4, "<span>a</span>"),
-    (1, 2, "Unlicense", "https://unlicense.org/", 11.5, "<span>b</span>"),
-    (1, 3, "The zlib/libpng License (Zlib)", "https://opensource.org/licenses/Zlib", 2.5, "<span>c</span>"),
-    (2, 1, "Apache License 2.0", "https://opensource.org/licenses/Apache-2.0", 100.0, "<span>d</span>"),
-    (2, 2, "Header of Apache License 2.0", "https://opensource.org/licenses/Apache-2.0", 99.5, "<span>e</span>"),
-    (2, 3, "MIT License", "https://opensource.org/licenses/MIT", 20.0, "<span>f</span>"),
-    (2, 4, "Unlicense", "https://unlicense.org/", 19.99, "<span>g</span>"),
-)
-
-#: (id, start1, length1, start2, length2, header)
-HEADERS = (
-    (0, 20, 18, 21, 17, "@@ -21,18 +22,17 @@"),
-    (1, 0, 1, 0, 1, "@@ -1 +1 @@"),
-    (2, 0, 3, 0, 0, "@@ -1,3 +0,0 @@"),
-    (3, 0, 0, 0, 3, "@@ -0,0 +1,3 @@"),
-    (4, 572, 28, 572, 31, "@@ -573,28 +573,31 @@"),
+from pyspark.sql import functions as F
+
+from ..functions import diffs as D
+from ..session import table
+
+#: The segments of a part's diff: op and text, in SQL and as a column.
+SEGMENTS = (
+    (0, "p_name", lambda: F.col("p_name")),
+    (-1, "p_brand", lambda: F.col("p_brand")),
+    (1, "p_type || '<&' || chr(10)", lambda: F.concat("p_type", F.lit("<&\n"))),
+    (0, "' of '", lambda: F.lit(" of ")),
+    (1, "p_type", lambda: F.col("p_type")),
+    (-1, "p_name || '>'", lambda: F.concat("p_name", F.lit(">"))),
 )
+DIFFS = "(SELECT p_partkey AS id, (p_size % 40)::INT AS place, [" + ", ".join(f"{{'op': {op}, 'text': {text}}}" for op, text, _ in SEGMENTS) + "] AS diff FROM part) AS v"
 
-#: (id, diff) before a clean-up
-MESSY = (
-    (0, [(-1, "a"), (0, "b"), (-1, "c")]),
-    (1, [(-1, "ab"), (0, "cd"), (-1, "e"), (0, "f"), (1, "g")]),
-    (2, [(0, "The c"), (1, "ow and the c"), (0, "at.")]),
-    (3, [(-1, "ab"), (1, "12"), (0, "xyz"), (-1, "cd"), (1, "34")]),
-    (4, [(0, "x"), (-1, "a"), (1, "abc"), (-1, "dc"), (0, "y")]),
-)
-
-
-def diffs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(DIFFS), schema.T.StructType([schema.T.StructField("id", schema.T.IntegerType()), schema.T.StructField("place", schema.T.IntegerType()), schema.T.StructField("diff", schema.DIFF)]))
-
-
-def messy(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(MESSY), schema.T.StructType([schema.T.StructField("id", schema.T.IntegerType()), schema.T.StructField("diff", schema.DIFF)]))
+_SPAN = "CASE {n} WHEN 0 THEN {s} || ',0' WHEN 1 THEN ({s} + 1)::VARCHAR ELSE ({s} + 1) || ',' || {n} END"
+HEADERS = f"""(SELECT *, '@@ -' || {_SPAN.format(s="start1", n="length1")} || ' +' || {_SPAN.format(s="start2", n="length2")} || ' @@' AS header
+    FROM (SELECT p_partkey AS id, p_partkey::INT AS start1, (p_size % 3)::INT AS length1, (p_partkey + 7)::INT AS start2, (p_size % 5)::INT AS length2 FROM part)) AS v"""
 
 
-def ranking(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(RANKING), "doc_id long, rank int, name string, url string, pct double, diff_html string")
+def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, place, diff."""
+    segments = [F.struct(F.lit(op).alias("op"), text().alias("text")) for op, _, text in SEGMENTS]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 40).cast("int").alias("place"), F.array(*segments).alias("diff"))
 
 
-def headers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(HEADERS), "id int, start1 int, length1 int, start2 int, length2 int, header string")
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, start1, length1, start2, length2, header."""
+    part = table(spark, sf_dir, "part")
+    key, size = F.col("p_partkey").cast("int"), F.col("p_size")
+    rows = part.select(F.col("p_partkey").alias("id"), key.alias("start1"), (size % 3).cast("int").alias("length1"), (key + 7).alias("start2"), (size % 5).cast("int").alias("length2"))
+    return rows.withColumn("header", D.patch_header(F.struct("start1", "length1", "start2", "length2")))
 
 
 def quoted(value: object) -> str:
     if isinstance(value, str):
-        # line breaks are spelled out, so that a statement stays on few lines
         return "'" + value.replace("'", "''") + "'"
-    if isinstance(value, list):
-        return "[" + ", ".join("{'op': %d, 'text': %s}" % (op, quoted(text)) for op, text in value) + "]::STRUCT(op INT, text VARCHAR)[]"
     return repr(value)
 
 

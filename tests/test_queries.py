@@ -20,7 +20,7 @@ from lexweave.sources import catalog as licences
 from lexweave.streaming import score_stream
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"license_match_chars", "best_license_by_diff"}
+SLOW = {"license_match_chars", "best_license_by_diff", "document_report"}
 
 
 @pytest.fixture(scope="module")
@@ -155,10 +155,38 @@ def test_ranking_ties_and_retention(spark):
     df = spark.createDataFrame(scores, f"doc_id long, n_chars int, scores {score.SCORES}")
     got = [(r["rank"], r.ord, r.keeps_detail) for r in rank.ranking(df).orderBy("rank").collect()]
     assert got == [(1, 1, True), (2, 2, True), (3, 0, True), (4, 3, False)]
-    html = report.assemble(registry.fixtures.ranking(spark)).filter("doc_id = 1").first().html
+    entries = [(1, 1, "One", "u", 12.4, "<span>a</span>"), (1, 2, "Two", "u", 11.5, "<span>b</span>"), (1, 3, "Three", "u", 2.5, "<span>c</span>")]
+    html = report.assemble(spark.createDataFrame(entries, "doc_id long, rank int, name string, url string, pct double, diff_html string")).first().html
     assert html.count("<li>") == 3 and html.count("<div>") == 1 and "- 12% match" in html
 
 
+def test_rows_that_repeat_an_id_are_scored_each(spark):
+    mit = licences.rows()[1][4]
+    df = spark.createDataFrame([(1, mit), (1, mit), (None, mit), (2, mit + mit), (3, "Nothing.")], "doc_id long, text string")
+    got = score.line_scores(df, licences.catalog(spark)).collect()
+    assert sorted((r.doc_id or 0, r.scores[1].pct) for r in got)[:4] == [(0, 100.0), (1, 100.0), (1, 100.0), (2, pytest.approx(100, abs=3))]
+    assert all(s.mct == 0 for r in got if r.doc_id == 3 for s in r.scores)
+
+
+def test_report_of_documents(spark, tmp_path):
+    table = licences.rows()
+    df = spark.createDataFrame([(1, table[1][4]), (1, table[0][4]), (None, "Some <b>text</b>.")], "doc_id long, text string")
+    found = report.of_documents(df, licences.catalog(spark), Config(budget=500))
+    report.write(found, f"{tmp_path}/report")
+    got = sorted(spark.read.parquet(f"{tmp_path}/report").collect(), key=lambda r: r.html)
+    assert len(got) == 3 and all(r.html.count("<li>") == 19 == r.html.count("</li>") and 1 <= r.html.count("<div><div") <= 3 for r in got)
+    mit = next(r.html for r in got if r.html.startswith(report.ENTRY % (table[1][2], table[1][1], 100)))
+    assert mit.index("<span>") < mit.index("</li>")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
+    run = report.write(report.of_documents(stream, licences.catalog(spark), Config(budget=500)), f"{tmp_path}/streamed")
+    try:
+        run.processAllAvailable()
+        assert sorted(r.html for r in spark.read.parquet(f"{tmp_path}/streamed").collect()) == [r.html for r in got]
+    finally:
+        run.stop()
+
+
 def test_schema():
     assert schema.PATCH.fieldNames() == ["diffs", "start1", "start2", "length1", "length2"]
 
@@ -169,6 +197,7 @@ def test_plans_stay_native(spark, duck):
     physical = plan[plan.index("== Physical Plan ==") :]
     assert "Python" not in physical and "Arrow" not in physical and "NestedLoop" not in physical and "Cartesian" not in physical
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in physical
+    assert "Exchange" not in physical and "Join" not in physical and physical.count("FileScan") == 1
 
 
 def test_entry_without_the_text_collection_subpackage():
