@@ -5,8 +5,9 @@ least one letter are hashed to BUCKETS places. Counts of each language are added
 table, so what reaches the driver is a fixed number of places for each language. The matrix of log-probabilities
 (languages x BUCKETS floats) is broadcast; a batch of texts is scored by looking up its n-grams and adding by document.
 
-Learned languages are the values of lang in rows that may be learned from (see learning.py); more than MOST_LANGUAGES are
-refused, as the matrix must have a bound. Counts use every such row.
+Learned languages are the values of lang in rows that may be learned from (see learning.py), however many. Counts use every such
+row. The matrix is broadcast in parts of at most TOGETHER languages (105 MB), one after the other; with more languages than that, each
+part is a pass over the texts, which carry their best language and the sum of all likelihoods from pass to pass.
 
 Defined cases: lang_pred is `und`, with score 0, for a null text, a text without a letter, or if no language was learned.
 Ties go to the language first in code point order. Texts are read whole; rows that repeat get the same result. A null doc_id is not held
@@ -15,6 +16,8 @@ out, and its row is learned from. Other columns, whatever their names, are not r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,8 @@ from .learning import held_out, pack, summed, unpack
 
 ORDERS, BITS, SLICES = (1, 2, 3), 16, 16
 BUCKETS = 1 << BITS
-MOST_LANGUAGES = 400
+#: Languages of a part of the matrix, and of which a task holds counts at a time.
+TOGETHER, HELD = 400, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -59,64 +63,97 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(buckets), np.concatenate(docs)) if buckets else (np.zeros(0, np.int32), np.zeros(0, np.int32))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in code point order and their log-probabilities: float32, languages x (BUCKETS + 1); the last column is the prior."""
-    Scratch(docs.sparkSession, "language")
+class Model:
+    """Counts of all languages, in the shared folder, and the languages in code point order with the rows of each."""
+
+    def __init__(self, table: DataFrame, langs: list[str], rows: list[int]):
+        self.table, self.langs, self.rows = table, langs, rows
+
+    def parts(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Languages and their log-probabilities: float32, languages x (BUCKETS + 1); the last column is the prior."""
+        total = sum(self.rows)
+        for low in range(0, len(self.langs), TOGETHER):
+            langs, rows = self.langs[low : low + TOGETHER], np.array(self.rows[low : low + TOGETHER], np.float64)
+            counts, at = np.zeros((len(langs), BUCKETS)), {lang: k for k, lang in enumerate(langs)}
+            some = self.table if len(langs) == len(self.langs) else self.table.filter(F.col("lang").between(langs[0], langs[-1]))
+            for lang, part, cells in some.toLocalIterator():
+                place, n = unpack(cells)
+                counts[at[lang], part * (BUCKETS // SLICES) + place] += n
+            logs = np.log(counts + 0.5) - np.log(counts.sum(1, keepdims=True) + 0.5 * BUCKETS)
+            prior = np.log(rows + 1) - np.log(total + len(self.langs))
+            yield langs, np.hstack([logs, prior[:, None]]).astype(np.float32)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    scratch = Scratch(docs.sparkSession, "language")
     rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
 
+    def cells(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
+        lang, part, packed = [], [], []
+        for name, table in counts.items():
+            for k, some in enumerate(np.split(table, SLICES)):
+                found = np.flatnonzero(some)
+                lang.append(name)
+                part.append(k)
+                packed.append(pack(found, some[found]))
+        return pa.record_batch([pa.array(lang, pa.string()), pa.array(part, pa.int32()), pa.array(packed, pa.binary())], names=["lang", "slice", "cells"])
+
     def count(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = (c.to_pylist() for c in batch.columns)
-            for lang in sorted(set(langs)):
-                table = counts.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-                own = [t for x, t in zip(langs, texts, strict=True) if x == lang]
-                table[-1] += len(own)
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, own in by_lang.items():
+                if lang not in counts and len(counts) >= HELD:
+                    yield cells(counts)
+                    counts = {}
+                table = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for some in by_size(own, 1 << 18):
-                    table[:-1] += np.bincount(ngrams(some)[0], minlength=BUCKETS)
-        for lang, table in counts.items():
-            parts = [table[s * (BUCKETS // SLICES) : (s + 1) * (BUCKETS // SLICES)] for s in range(SLICES)] + [table[-1:]]
-            found = [np.flatnonzero(p) for p in parts]
-            yield pa.record_batch([pa.array([lang] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([pack(f, p[f]) for f, p in zip(found, parts, strict=True)], pa.binary())], names=["lang", "slice", "cells"])
-
-    table = summed(rows.mapInArrow(count, "lang string, slice int, cells binary"), "lang")
-    table = Scratch(docs.sparkSession, "language").keep(table, "counts")
-    langs = sorted(r[0] for r in table.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    counts = np.zeros((len(langs), BUCKETS + 1))
-    at = {lang: k for k, lang in enumerate(langs)}
-    for lang, part, cells in table.toLocalIterator():
-        place, n = unpack(cells)
-        counts[at[lang], part * (BUCKETS // SLICES) + place] += n
-    logs = np.log(counts[:, :-1] + 0.5) - np.log(counts[:, :-1].sum(1, keepdims=True) + 0.5 * BUCKETS)
-    prior = np.log(counts[:, -1:] + 1) - np.log(counts[:, -1].sum() + len(langs))
-    return langs, np.hstack([logs, prior]).astype(np.float32)
-
-
-def score(texts: list[str], langs: list[str], logs: np.ndarray) -> tuple[list[str], list[float]]:
-    names, scores = [], []
+                    table += np.bincount(ngrams(some)[0], minlength=BUCKETS)
+        yield cells(counts)
+
+    table = scratch.keep(summed(rows.mapInArrow(count, "lang string, slice int, cells binary"), "lang"), "counts")
+    found = sorted(map(tuple, rows.groupBy("lang").count().collect()))  # a name and a number for each language
+    return Model(table, [lang for lang, _ in found], [n for _, n in found])
+
+
+def likelihoods(texts: list[str], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood of each text under each language, whether it has any n-gram)."""
+    like, known = [np.zeros((0, len(logs)))], [np.zeros(0, bool)]
     for some in by_size(texts, 1 << 18):
         bucket, doc = ngrams(some)
-        like = np.stack([np.bincount(doc, row[bucket].astype(np.float64), minlength=len(some)) + row[-1] for row in logs], 1)
-        best = like.argmax(1)
-        share = 1 / np.exp(like - like.max(1, keepdims=True)).sum(1)
-        known = np.bincount(doc, minlength=len(some)) > 0
-        names += [langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
-        scores += np.where(known, share, 0.0).tolist()
-    return names, scores
+        like.append(np.stack([np.bincount(doc, row[bucket].astype(np.float64), minlength=len(some)) + row[-1] for row in logs], 1))
+        known.append(np.bincount(doc, minlength=len(some)) > 0)
+    return np.concatenate(like), np.concatenate(known)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document."""
-    langs, logs = model
-    shared = Scratch(docs.sparkSession, "language").spark.sparkContext.broadcast((langs, logs))
+    scratch = Scratch(docs.sparkSession, "language")
+    nothing = F.lit(None).cast("double")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(text_col, F.lit("")).alias("text"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, logs = shared.value
-        texts = batch.column(2).to_pylist()
-        names, scores = score(texts, langs, logs) if langs else (["und"] * len(texts), [0.0] * len(texts))
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = rows.select("*", F.lit("und").alias("lang"), nothing.alias("best"), nothing.alias("log_sum"))
+    schema = "doc_id long, held_out boolean, text string, lang string, best double, log_sum double"
+    more = len(model.langs) > TOGETHER
+    for part in model.parts():
+        shared = scratch.spark.sparkContext.broadcast(part)
+
+        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            langs, logs = shared.value
+            like, known = likelihoods(batch.column(2).to_pylist(), logs)
+            names, best, log_sum = batch.column(3).to_pylist(), *(batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (4, 5))
+            best, log_sum = (np.where(np.isnan(x), -np.inf, x) for x in (best, log_sum))
+            top = like.argmax(1) if len(like) else np.zeros(0, int)
+            highest = like[np.arange(len(like)), top]
+            both = np.logaddexp(log_sum, highest + np.log(np.exp(like - highest[:, None]).sum(1)))
+            better = known & (highest > best)
+            names = [langs[k] if b else name for k, b, name in zip(top, better, names, strict=True)]
+            values = [pa.array(x, pa.float64(), mask=~known) for x in (np.maximum(best, highest), both)]
+            texts = batch.column(2) if more else pa.nulls(len(names), pa.string())
+            return pa.record_batch([batch.column(0), batch.column(1), texts, pa.array(names, pa.string()), *values], names=[*batch.schema.names])
+
+        rows = map_batches(rows, run, schema)
+        rows = scratch.keep(rows, "part") if more else rows
+    score = F.when(F.col("best").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("best") - F.col("log_sum"))))
+    return rows.select("doc_id", "held_out", F.col("lang").alias("lang_pred"), score.alias("score"))

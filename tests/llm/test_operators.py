@@ -329,6 +329,91 @@ def test_language_against_plain_counts():
         assert len(alone) == len(grams)
 
 
+@pytest.mark.parametrize(("together", "at_once"), [(400, 64), (3, 2)])
+def test_language_against_plain_bayes(spark, monkeypatch, together, at_once):
+    """Counts in dictionaries and likelihoods summed n-gram by n-gram, with many languages; in parts of the matrix it is the same."""
+    import math
+
+    monkeypatch.setattr(language_id, "TOGETHER", together)
+    monkeypatch.setattr(language_id, "HELD", at_once)
+    draw = random.Random(14)
+    letters = "abcdefghijklmnop"
+    rows = []
+    for k in range(160):
+        lang = f"l{k % 8}"
+        own = letters[k % 8 : k % 8 + 6]
+        rows.append((k, " ".join("".join(draw.choices(own, k=draw.randint(1, 6))) for _ in range(draw.randint(0, 12))), lang if k % 5 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    counts, docs = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for k, text, lang in rows:
+        if lang and not held(k):
+            docs[lang] += 1
+            for b in language_id.ngrams([text])[0].tolist():
+                counts[lang][b] += 1
+    got = {r.doc_id: r for r in language_id.identify(df, language_id.learn(df)).collect()}
+    assert len(got) == 160
+    for k, text, _ in rows:
+        grams = language_id.ngrams([text])[0].tolist()
+        like = {x: math.log(docs[x] + 1) - math.log(sum(docs.values()) + len(docs)) + sum(math.log(counts[x][b] + 0.5) - math.log(sum(counts[x].values()) + 0.5 * language_id.BUCKETS) for b in grams) for x in docs}
+        if not grams:
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        top = max(like.values())
+        assert like[got[k].lang_pred] == pytest.approx(top, abs=1e-3)
+        assert got[k].score == pytest.approx(1 / sum(math.exp(v - top) for v in like.values()), abs=1e-3)
+
+
+def test_toxicity_against_plain_counts(spark):
+    """The chosen model from sets of word pairs, and each score from the ratios of a text's words."""
+    import math
+
+    docs, labels = made_up(spark, 300)
+    (words, stems), w = toxicity.learn(docs, labels)
+    sample, _ = learning.labelled_sample(docs, labels, "toxic", toxicity.FIT_ROWS)
+    before = [defaultdict(set), defaultdict(set)]
+    for r in sample.filter("not calibrates").collect():
+        own = toxicity.words(r.text)
+        for a, b in zip([None, *own], own, strict=False):
+            before[r.y][b].add(a)
+    every = sorted(set(before[0]) | set(before[1]))
+    count = np.array([[len(before[y][x]) for y in (0, 1)] for x in every], float)
+    plain = [toxicity.Model(np.array(list(map(toxicity.signed_hash, every))), count, count.sum(0), len(every), d) for d in toxicity.DISCOUNTS]
+    assert any(set(m.ratios) >= set(words.ratios) and all(m.ratios[k] == pytest.approx(v) for k, v in words.ratios.items()) and m.rare == pytest.approx(words.rare) for m in plain)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, ((words, stems), w)).collect()}
+    for r in docs.collect():
+        ratios = []
+        for x in toxicity.words(r.text):
+            found = words.ratios.get(toxicity.signed_hash(x))
+            if found is None and stems:
+                found = stems.ratios.get(toxicity.signed_hash(b"\0" + x[: toxicity.STEM]))
+            ratios.append(words.rare if found is None else found)
+        n = max(2, math.ceil(0.01 * len(ratios)))
+        z = w[0] + w[1] * sum(sorted(ratios)[-n:]) / n
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_quality_against_plain_compression(spark):
+    """Each score from the sizes of a text's blocks as the library compresses them."""
+    import math
+
+    import zstandard
+
+    docs, labels = made_up(spark, 300)
+    docs = docs.unionAll(spark.createDataFrame([(900, "bama dalo " * 3000, "aa", "s"), (901, None, None, None)], docs.schema))
+    learned = quality.learn(docs, labels)
+    bad, good = (zstandard.ZstdCompressionDict(d) for d in learned[0])
+    got = {r.doc_id: r.score for r in quality.score(docs, learned).collect()}
+    for r in docs.collect():
+        data, sizes = (r.text or "").encode(), [0, 0, 0]
+        for at in range(0, len(data), quality.BLOCK):
+            for k, one in enumerate((bad, good, None)):
+                c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=one, write_content_size=False, write_checksum=False, write_dict_id=False)
+                sizes[k] += len(c.compress(data[at : at + quality.BLOCK]))
+        x = ((sizes[1] - sizes[0]) / (sizes[0] + sizes[1]), sizes[2] / len(data)) if data else (0.0, 1.0)
+        z = learned[1][0] + learned[1][1] * x[0] + learned[1][2] * x[1]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6), r.doc_id
+
+
 def test_learned_rows_exclude_held_out(spark):
     docs, labels = made_up(spark, 200)
     sample, counts = learning.labelled_sample(docs, labels, "toxic", 10)
