@@ -76,7 +76,7 @@ class Encoder(Memory):
         for token, rank in self.reachable.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.lexicon = Lexicon(self.make, 1_000_000)
+        self.lexicon = Lexicon(self.make, 650_000)
         self.pairs: dict[int, bool] = {}
         self.shorter = lru_cache(PAIRS)(self._shorter)
 
