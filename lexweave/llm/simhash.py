@@ -334,14 +334,19 @@ class NearCopies:
         return out
 
     def _contract(self, **pairs: DataFrame) -> None:
-        """Join the classes of each named column that its pairs (a, b) connect."""
-        nodes = self.nodes
+        """Join the classes of each named column that its pairs (a, b) connect. Only nodes that may be of such a class are shuffled: a filter tells them."""
+        nodes, columns = self.nodes, ["id", "part", "alike", *WORDS]
         for column, some in pairs.items():
             now = self.nodes.select("id", column)
             ends = some.select("a", "b").join(now.withColumnsRenamed({"id": "a", column: "x"}), "a").join(now.withColumnsRenamed({"id": "b", column: "y"}), "b")
             found = components(ends.select("x", "y"), "x", "y").withColumnsRenamed({"node": column, "component": "to"})
-            nodes = nodes.join(found, column, "left").withColumn(column, F.coalesce("to", column)).drop("to")
-        self.nodes = self.scratch.keep(nodes.select("id", "part", "alike", *WORDS), "nodes")
+            if not (n := found.count()):
+                continue
+            moves = F.coalesce(hit_filter(found, F.col(column), n)(F.col(column)), F.lit(True))
+            moved = nodes.filter(moves).join(found, column, "left").withColumn(column, F.coalesce("to", column))
+            nodes = nodes.filter(~moves).select(columns).unionByName(moved.select(columns))
+        if nodes is not self.nodes:
+            self.nodes = self.scratch.keep(nodes, "nodes")
 
     def _seen_as(self, column: Column, nodes: DataFrame | None = None) -> DataFrame:
         return (nodes or self.nodes).select("id", column.alias("part"), *WORDS)
