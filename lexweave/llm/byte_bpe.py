@@ -33,7 +33,8 @@ from .common import Memory, Scratch, built, fresh, by_size, map_batches, read_lo
 from .lexicon import Lexicon, per_text
 from .token_files import CHUNK, lists
 
-PAIRS = 250_000
+#: Cuts, matches of the pattern and pairs of tokens that a worker remembers; fewer cost time and no result.
+REMEMBERED, MATCHES, PAIRS = 650_000, 120_000, 250_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -65,10 +66,10 @@ def halves(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
 class Encoder(Memory):
     """Ids of texts; what it remembers itself are little-endian 32-bit ids of matches of the pattern."""
 
-    LIMIT = 120_000
-
-    def __init__(self, ranks: dict[bytes, int], made_of: dict[int, tuple[int, int]], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], made_of: dict[int, tuple[int, int]], pattern: str, remembered: int = REMEMBERED):
         super().__init__()
+        share = remembered / REMEMBERED
+        self.LIMIT, self.most_pairs = int(MATCHES * share), int(PAIRS * share)
         self.ranks, self.made_of, self.pattern = ranks, made_of, regex.compile(pattern)
         self.bytes = {r: t for t, r in ranks.items()}
         self.reachable = {t: r for t, r in ranks.items() if r in made_of}
@@ -76,15 +77,15 @@ class Encoder(Memory):
         for token, rank in self.reachable.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.lexicon = Lexicon(self.make, 650_000)
+        self.lexicon = Lexicon(self.make, remembered, int((24 << 20) * share))
         self.pairs: dict[int, bool] = {}
-        self.shorter = lru_cache(PAIRS)(self._shorter)
+        self.shorter = lru_cache(self.most_pairs)(self._shorter)
 
     def compatible(self, left: int, right: int) -> bool:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             known = self.pairs[key] = self._compatible(left, right)
         return known
@@ -171,9 +172,9 @@ def cuts(buffer: bytes, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[starts < len(data)], text_ends
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared, remembered: int) -> Encoder:
     ranks, made_of, pattern, mark = shared.value
-    return built(("bpe", mark, pattern), lambda: Encoder(ranks, made_of, pattern))
+    return built(("bpe", mark, pattern, remembered), lambda: Encoder(ranks, made_of, pattern, remembered))
 
 
 def tables(spark, ranks_path: str, pattern: str):
@@ -188,8 +189,8 @@ def tables(spark, ranks_path: str, pattern: str):
     return spark.sparkContext.broadcast(built(("tables", mark, pattern), make))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
-    """doc_id, the columns named in keep, and ids: array<int>; with decoded also the bytes that the ids decode to, in the same pass."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, the columns named in keep, and ids: array<int>; with decoded also the bytes that the ids decode to, in the same pass. remembered bounds a worker's memory."""
     shared = tables(Scratch(docs.sparkSession, "byte-bpe").spark, ranks_path, pattern)
     text = fresh("text_to_encode", docs)
     rows = docs.select(F.coalesce(text_col, F.lit("")).alias(text), F.col(id_col).cast("long").alias("doc_id"), *keep)
@@ -197,9 +198,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     schema = (schema.withColumn("decoded", F.lit(None).cast("binary")) if decoded else schema).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared, remembered)
         ids = encoder.encode(batch.column(0).to_pylist())
         more = [ids, pa.array(_decoded(ids, encoder.bytes), pa.binary())] if decoded else [ids]
+        pa.default_memory_pool().release_unused()
         return pa.RecordBatch.from_arrays([*batch.columns[1:], *more], names=[*batch.schema.names[1:], "ids", "decoded"][: len(schema)])
 
     return map_batches(rows, run, schema)
