@@ -17,6 +17,8 @@ from lexweave.llm.exact_dedup import ExactDedup
 #: A document whose quality score is below this goes.
 QUALITY_THRESHOLD = 0.5
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Words that a worker of the last stage remembers: fewer than in the operator's own query, as workers hold the other stages' tables too.
+REMEMBERED = 200_000
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     sha = fresh("sha", docs)
     marked = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    coded = byte_bpe.encode(marked, ranks, public_tokenizers.PATTERN, keep=("source", sha), decoded=True)
+    coded = byte_bpe.encode(marked, ranks, public_tokenizers.PATTERN, keep=("source", sha), decoded=True, remembered=REMEMBERED)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col(sha)).alias("round_trip"))
 
 
