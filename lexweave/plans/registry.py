@@ -392,7 +392,23 @@ def match_exact(spark, sf_dir):
     return pairs(spark, sf_dir).select("id", X.exact_location(F.col("a"), F.right("a", F.lit(4)), F.greatest(F.length("a") - 4, F.lit(0))).alias("place"))
 
 
-@query()
+#: Fewest errors from each place, by a table of edit distances from the right, then the place of least badness.
+FUZZY = f"""
+WITH RECURSIVE p AS (SELECT id, a, left(b, 32) AS pattern FROM {PAIRS}),
+dp(id, a, r, i, cells) AS (
+  SELECT id, reverse(a), reverse(pattern), 0, [k::INT FOR k IN range(length(pattern) + 1)] FROM p
+  UNION ALL
+  SELECT id, a, r, i + 1, list_reduce(list_prepend([0]::INT[], [[k]::INT[] FOR k IN range(1, length(r) + 1)]),
+    LAMBDA acc, k: list_append(acc, least(cells[k[1]] + CASE WHEN r[k[1]] = a[i + 1] THEN 0 ELSE 1 END, acc[k[1]] + 1, cells[k[1] + 1] + 1))::INT[])
+  FROM dp WHERE i < length(a)),
+s AS (SELECT id, length(a) - i AS spot, cells[-1] AS errors, length(r) AS n, cells[-1] / length(r)::DOUBLE + (length(a) - i) / 1000.0::DOUBLE AS badness FROM dp WHERE i > 0 AND length(r) > 0),
+f AS (SELECT id, spot FROM s WHERE errors < n AND badness <= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY badness, errors DESC, spot) = 1)
+SELECT p.id, CASE WHEN a = pattern THEN 0 WHEN length(a) = 0 THEN -1 WHEN starts_with(a, pattern) THEN 0 ELSE coalesce(f.spot, -1) END::INT AS place
+FROM p LEFT JOIN f USING (id)
+"""
+
+
+@query(FUZZY)
 def match_fuzzy(spark, sf_dir):
     """Where the next part's name, or its first 32 characters, is best found in a part's name."""
     importable(spark)
