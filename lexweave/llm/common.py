@@ -17,8 +17,8 @@ from lexweave.session import importable, table  # noqa: F401
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-#: Rows of one Arrow batch that crosses to Python: long texts must not pile up in a worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch that crosses to Python: long texts must not pile up in a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,8 +46,10 @@ class Scratch:
         self.written: dict[str, DataFrame] = {}
         # executors start separate workers for either value, and they would hold two sets of tables: one value for all
         spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        for setting, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+            name = f"spark.sql.execution.arrow.{setting}"
+            if not 0 < spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= most:
+                spark.conf.set(name, str(most))
 
     def path(self, name: str) -> str:
         self.count += 1
