@@ -201,7 +201,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         encoder = _encoder(shared, remembered)
         ids = encoder.encode(batch.column(0).to_pylist())
         more = [ids, pa.array(_decoded(ids, encoder.bytes), pa.binary())] if decoded else [ids]
-        pa.default_memory_pool().release_unused()
         return pa.RecordBatch.from_arrays([*batch.columns[1:], *more], names=[*batch.schema.names[1:], "ids", "decoded"][: len(schema)])
 
     return map_batches(rows, run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -106,14 +108,46 @@ def heavy_keys(counts: DataFrame, keys: list[str], n: str, total: int, share: in
     return counts.filter(F.col(n) >= max(least, total // share)).select(*keys)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with a function of a task's batches.
+
+    Workers live on between tasks, and an executor's memory counts theirs: one holds the tables of one module at a time (see built), and
+    gives freed memory back to the system after each batch and at the end of the task.
+    """
+    module = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_tables_of(module)
+        try:
+            for batch in fn(batches):
+                yield batch
+                del batch
+                give_back()
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """map_stream with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    run.__module__ = fn.__module__
+    return map_stream(df, run, schema)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+
+
+def give_back() -> None:
+    """Return memory that is free in this process to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
@@ -152,6 +186,15 @@ def read_local(path: str) -> bytes:
 
 
 _BUILT: dict = {}
+_MODULE = [""]
+
+
+def hold_tables_of(module: str) -> None:
+    """Forget what a Python worker has built for another module than this."""
+    if _MODULE[0] != module:
+        _MODULE[0] = module
+        _BUILT.clear()
+        gc.collect()  # encoders refer to themselves
 
 
 def built(key: tuple, make: Callable):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .common import Scratch, map_batches, whole_groups
+from .common import Scratch, map_batches, map_stream, whole_groups
 from .graph import components, smallest_reached
 
 #: Passes at least; passes_for() asks for more where a label has many rows.
@@ -110,7 +110,7 @@ def _keyed(nodes: DataFrame, passes: list[int], kind: str) -> DataFrame:
                 tie = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(number * 0x1000193)) * np.uint64(0xC2B2AE3D27D4EB4F)
                 yield pa.record_batch([pa.array(np.full(len(keys), number, np.int32)), pa.array(keys, pa.binary()), pa.array(tie.view(np.int64)), *batch.columns], names=["number", "key", "tie", "id", "part", "label", "v"])
 
-    return nodes.select("id", "part", "label", "v").mapInArrow(run, "number int, key binary, tie long, id long, part long, label string, v binary")
+    return map_stream(nodes.select("id", "part", "label", "v"), run, "number int, key binary, tie long, id long, part long, label string, v binary")
 
 
 def _stars(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +173,7 @@ def _compare(ordered: DataFrame, window: int, least: float, kind: str) -> DataFr
             n = len(tail)
             yield _rows([own_range] * n, range(-n, 0), [t[0] for t in tail], [t[0] for t in tail], tail)
 
-    return ordered.select("number", "part", "label", "v").mapInArrow(run, "range int, place int, a long, b long, label string, v binary")
+    return map_stream(ordered.select("number", "part", "label", "v"), run, "range int, place int, a long, b long, label string, v binary")
 
 
 def _rows(own_range, place, a, b, rest: list[tuple] | None) -> pa.RecordBatch:
@@ -259,7 +259,7 @@ def _outside(members: DataFrame, sizes: DataFrame, least: float, kind: str) -> D
                     n[s + tile] += near @ weight[s + j]
             yield pa.record_batch([pa.array(ids[n > 0]), pa.array(n[n > 0])], names=["id", "n"])
 
-    return rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_out"))
+    return map_stream(rows, run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_out"))
 
 
 def _cores(members: DataFrame, half: float, kind: str) -> DataFrame:

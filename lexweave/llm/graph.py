@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, map_stream
 
 FEW = 1 << 18
 
@@ -44,7 +44,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
         low = smallest_reached(at[: len(a)], at[len(a) :], len(nodes))
         yield pa.record_batch([pa.array(nodes), pa.array(nodes[low])], names=["node", "component"])
 
-    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
+    return map_stream(edges.select("a", "b").coalesce(1), run, "node long, component long")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, built, by_size, map_batches
+from .common import Scratch, built, by_size, map_batches, map_stream
 from .learning import held_out, pack, summed, unpack
 
 ORDERS, BITS, SLICES = (1, 2, 3), 16, 16
@@ -113,7 +113,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     table += np.bincount(ngrams(some)[0], minlength=BUCKETS)
         yield cells(counts)
 
-    table = scratch.keep(summed(rows.mapInArrow(count, "lang string, slice int, cells binary"), "lang"), "counts")
+    table = scratch.keep(summed(map_stream(rows, count, "lang string, slice int, cells binary"), "lang"), "counts")
     found = sorted(map(tuple, rows.groupBy("lang").count().collect()))  # a name and a number for each language
     return Model(table, [lang for lang, _ in found], [n for _, n in found])
 

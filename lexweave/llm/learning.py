@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_stream
+
 #: Rows whose remainder is HELD_OUT are never learned from.
 FOLDS, HELD_OUT = 3, 1
 
@@ -105,7 +107,7 @@ def summed(rows: DataFrame, key: str) -> DataFrame:
             yield pa.record_batch([pa.array([k for k, _ in sums], pa.string()), pa.array([s for _, s in sums], pa.int32()), pa.array([pack(*v) for v in sums.values()], pa.binary())], names=[key, "slice", "cells"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, key, "slice").mapInArrow(add, f"{key} string, slice int, cells binary")
+    return map_stream(rows.repartition(n, key, "slice"), add, f"{key} string, slice int, cells binary")
 
 
 def pack(place: np.ndarray, n: np.ndarray) -> bytes:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, map_batches
+from .common import Scratch, fresh, map_batches, map_stream
 from .learning import class_weights, held_out, labelled_sample, logistic, lowest_share, probability
 
 FIT_ROWS = 20_000
@@ -95,7 +95,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows:
             x = np.array([compressors.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, 2)
             yield pa.record_batch([batch.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["y", "x0", "x1"])
 
-    held = sample.filter("calibrates").select("text", "y").mapInArrow(measure, "y int, x0 double, x1 double").toPandas()
+    held = map_stream(sample.filter("calibrates").select("text", "y"), measure, "y int, x0 double, x1 double").toPandas()
     held = held.sort_values(list(held.columns))
     y = held["y"].to_numpy(np.float64)
     if len(set(y.tolist())) < 2:
@@ -126,5 +126,5 @@ def score(docs: DataFrame, learned, threshold: float = 0.5, id_col: str = "doc_i
             p = probability(w[0] + x @ w[1:])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names=[*batch.schema.names[1:], out])
 
-    scored = rows.mapInArrow(run, schema)
+    scored = map_stream(rows, run, schema)
     return scored if keep else scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

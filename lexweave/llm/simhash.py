@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, map_batches, whole_groups
+from .common import Scratch, fresh, map_batches, map_stream, whole_groups
 from .exact_dedup import hit_filter
 from .graph import components
 
@@ -418,7 +418,7 @@ class NearCopies:
                                 b.append(ids[y])
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        return self.scratch.keep(rows.mapInArrow(run, "a long, b long"), "links")
+        return self.scratch.keep(map_stream(rows, run, "a long, b long"), "links")
 
     def _matches(self, nodes: DataFrame, tables: range) -> DataFrame:
         """(a, b): all table matches of different classes (part) under these segments whose sketches are close."""

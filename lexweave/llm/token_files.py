@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Scratch, built, by_size, map_batches, read_local
+from .common import Scratch, built, by_size, map_batches, map_stream, read_local
 from .lexicon import Lexicon, per_text
 
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
@@ -181,7 +181,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 2, par
                 names=["doc_id", "part", "start", "n_tokens", "ids"],
             )
 
-    rows.mapInArrow(encode, "doc_id long, part int, start long, n_tokens long, ids array<int>").write.options(**FORMAT).parquet(path)
+    map_stream(rows, encode, "doc_id long, part int, start long, n_tokens long, ids array<int>").write.options(**FORMAT).parquet(path)
 
 
 def _words(shared) -> WordIds:

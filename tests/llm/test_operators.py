@@ -261,6 +261,27 @@ def test_words_that_collide(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def test_a_worker_holds_the_tables_of_one_module():
+    common.hold_tables_of("one")
+    assert common.built(("x",), lambda: 1) == 1 and common.built(("x",), lambda: 2) == 1
+    common.hold_tables_of("one")
+    assert common.built(("x",), lambda: 2) == 1
+    common.hold_tables_of("other")
+    assert common.built(("x",), lambda: 2) == 2
+
+
+def test_batches_are_bounded_by_rows_and_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, kept in (("64m", str(common.BATCH_BYTES)), ("100k", "100k")):
+        spark.conf.set(name, given)
+        common.Scratch(spark, "test")
+        assert spark.conf.get(name) == kept
+    rows = spark.range(40).select("id", F.expr("repeat('x', 10000)").alias("text")).coalesce(1)
+    sizes = common.map_batches(rows, lambda b: pa.record_batch([pa.array([len(b)])], names=["n"]), "n long").collect()
+    spark.conf.set(name, str(common.BATCH_BYTES))
+    assert sum(r.n for r in sizes) == 40 and len(sizes) >= 3
+
+
 def test_memory_keeps_two_generations():
     class Squares(Memory):
         LIMIT = 10
