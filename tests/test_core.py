@@ -438,3 +438,67 @@ def test_patches_apply_to_their_source():
         other = [w if draw.random() > 0.1 else "new" + w for w in words]
         a, b = " ".join(words), " ".join(other)
         assert patches.apply(patches.make(a, b), a)[0] == b
+
+
+def unrelated(seed, n):
+    rng = random.Random(seed)
+    return "".join(rng.choice("etaoinshrdlu \n") for _ in range(n))
+
+
+@pytest.mark.parametrize(("n", "m"), [(3000, 9000), (3000, 3100), (900, 800), (60, 50)])
+def test_a_search_that_can_not_end_takes_no_steps(n, m, monkeypatch):
+    """Texts whose scripts are all longer than the budget reaches are told from their lengths, grams or an alignment."""
+
+    def step(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(search, "_step", step)
+    a, b = "x" + unrelated(1, n) + "x", "y" + unrelated(2, m) + "y"
+    assert search.diff(a, b, False, Config(budget=20_000 if n > 60 else 300)) == [d(a), i(b)]
+
+
+def test_proof_of_a_long_script_changes_no_diff(monkeypatch):
+    """Diffs and what is left of the budget are those of the search that runs until the budget ends."""
+    rng, pairs = random.Random(5), []
+    for _ in range(250):
+        a = unrelated(rng.random(), rng.choice([3, 40, 300, 900]))
+        b = list(a) if rng.random() < 0.6 else list(unrelated(rng.random(), rng.choice([3, 40, 300, 900])))
+        for _ in range(rng.choice([1, 10, 60])):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = []
+            b.insert(rng.randrange(len(b) + 1), rng.choice("etao\n😀"))
+        pairs.append((a, "".join(b), rng.random() < 0.7, rng.choice([0, 1, 2, 7, 300, 3000, 20_000])))
+
+    def run():
+        out = []
+        for a, b, lines, budget in pairs:
+            one = search._Search(Config(budget=budget))
+            out.append((one.run(a, b, lines), one.left))
+        return out
+
+    got = run()
+    monkeypatch.setattr(search, "takes_more_edits", lambda *_: False)
+    monkeypatch.setattr(search, "_line_set", lambda text: (0, frozenset([""])))
+    assert got == run()
+
+
+def test_common_subsequence():
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abé😀") for _ in range(rng.randrange(30))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for k, other in enumerate(b):
+                new.append(row[k] + 1 if c == other else max(new[k], row[k + 1]))
+            row = new
+        assert search.common_subsequence(a, b) == row[-1]
+        n = len(a) + len(b) - 2 * row[-1]
+        assert not search.takes_more_edits(a, b, n) and search.takes_more_edits(a, b, n - 1)
+
+
+@given(st.text("ab", max_size=12), st.text("ab", max_size=12))
+def test_overlaps_of_half_are_never_missed(a, b):
+    n = segments.common_overlap(a, b)
+    if 2 * n >= min(len(a), len(b)):
+        assert tidy._half_overlaps(a, b)
