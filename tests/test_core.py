@@ -502,3 +502,15 @@ def test_overlaps_of_half_are_never_missed(a, b):
     n = segments.common_overlap(a, b)
     if 2 * n >= min(len(a), len(b)):
         assert tidy._half_overlaps(a, b)
+
+
+def test_an_unrelated_document_is_scored_without_a_search(monkeypatch):
+    """Invented prose against all licences, as the queries of the diff score compare them."""
+    from lexweave.operators import score
+    from lexweave.sources import catalog
+
+    monkeypatch.setattr(search, "_step", None)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bdgkmnprstaeiou") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    document = catalog.normalize("".join(rng.choice(words) + rng.choice([" "] * 9 + [". "]) for _ in range(600)))
+    assert all(segments.equal_length(score.compare(document, catalog.normalize(r[4]))) < 10 for r in catalog.rows())
