@@ -820,3 +820,41 @@ def test_mixing_defined_cases(spark):
     assert {(r["__mix"].size, r["__mix"].target, r["__mix"].copies) for r in mixing.plan(none).collect()} == {(0, 0.0, 0)}
     one = spark.createDataFrame([(1, "a b", "only"), (1, "a b", "only"), (None, "c", "only")], "doc_id long, text string, source string")
     assert {r["__mix"].copies for r in mixing.plan(one).collect()} == {1}
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows of label 0 than the 20,000 that were once sampled."""
+    n = 20_800
+    ids = spark.range(n).withColumn("toxic", (F.col("id") % 50 == 0).cast("int"))
+    labels = ids.select(F.col("id").alias("doc_id"), "toxic").persist()
+    docs = ids.select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("plain"), F.when(F.col("toxic") == 1, "vile").otherwise("kind"), F.col("id").cast("string")).alias("text"))
+    more = spark.range(n, 3 * n).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
+    labels, docs = labels.unionAll(more), docs.unionAll(more.select("doc_id", F.concat_ws(" ", F.lit("plain kind"), F.col("doc_id").cast("string")).alias("text")))
+    seen = {}
+    pairs = toxicity._pairs
+
+    def counted(sample):
+        seen.update({r.y: r["count"] for r in sample.groupBy("y").count().collect()})
+        return pairs(sample)
+
+    monkeypatch.setattr(toxicity, "_pairs", counted)
+    toxicity.learn(docs, labels)
+    want = defaultdict(int)
+    for k in range(3 * n):
+        if not held(k):
+            want[int(k < n and k % 50 == 0)] += 1
+    assert want[0] > 20_000 and seen == want
+    monkeypatch.setattr(learning, "IDS", 100)  # by a shuffle
+    assert learning.labelled_sample(docs, labels, "toxic", None)[0].groupBy("y").count().rdd.collectAsMap() == want
+
+
+def test_rows_that_stand_for_several():
+    """A curve from rows with their numbers is that of the rows repeated."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (40, 1)).astype(float)
+    y, times = (x[:, 0] + rng.normal(0, 2, 40) > 0).astype(float), rng.integers(1, 9, 40).astype(float)
+    many = times.astype(int)
+    weight = learning.class_weights(y, {0: 70, 1: 30}, times)
+    long = learning.class_weights(np.repeat(y, many), {0: 70, 1: 30})
+    assert np.allclose(np.repeat(weight, many), long)
+    assert np.allclose(learning.logistic(x, y, weight, times=times), learning.logistic(np.repeat(x, many, axis=0), np.repeat(y, many), long))
