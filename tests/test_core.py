@@ -514,3 +514,43 @@ def test_an_unrelated_document_is_scored_without_a_search(monkeypatch):
     words = ["".join(rng.choice("bdgkmnprstaeiou") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
     document = catalog.normalize("".join(rng.choice(words) + rng.choice([" "] * 9 + [". "]) for _ in range(600)))
     assert all(segments.equal_length(score.compare(document, catalog.normalize(r[4]))) < 10 for r in catalog.rows())
+
+
+def test_an_unrelated_document_is_not_looked_up_in_the_licences(monkeypatch):
+    """Where no line is common and all are short, no long part can be; one replacement is neither merged nor tidied."""
+    from lexweave.operators import score
+    from lexweave.sources import catalog
+
+    for module, name in ((search, "half_match"), (search, "half_overlap"), (search, "merge"), (tidy, "_dissolved")):
+        monkeypatch.setattr(module, name, None)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("bdgkmnprstaeiou") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    document = catalog.normalize("".join(rng.choice(words) + (". " if k % 8 == 7 else " ") for k in range(1200)))
+    assert all(segments.equal_length(score.compare(document, catalog.normalize(r[4]))) < 10 for r in catalog.rows())
+
+
+def test_what_short_lines_prove_changes_no_diff(monkeypatch):
+    """Diffs and what is left of the budget are those without the proof, also where long parts are common."""
+    rng, pairs = random.Random(8), []
+    for _ in range(400):
+        one, other, common = ("".join(rng.choice("etao" * 6 + "\n") for _ in range(rng.choice([60, 150, 400]))) for _ in range(3))
+        for a, b in ((one + common, common + other), (one + common + other, common), (one, other), (one + common + one, other + common + other)):
+            pairs.append((a, b, rng.choice([0, 7, 300, 3000, 20_000])))
+
+    def run():
+        out = []
+        for a, b, budget in pairs:
+            search_ = search._Search(Config(budget=budget))
+            out.append((search_.run(a, b, True), search_.left))
+        return out
+
+    got, proven = run(), 0
+
+    def not_proven(*args, only_short_parts=search._only_short_parts):
+        nonlocal proven
+        proven += only_short_parts(*args)
+        return False
+
+    monkeypatch.setattr(search, "_only_short_parts", not_proven)
+    monkeypatch.setattr(search, "half_overlap", lambda *_: True)
+    assert got == run() and 50 < proven < len(pairs) / 2

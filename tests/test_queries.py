@@ -119,6 +119,13 @@ def test_text_functions(spark):
     assert one == "a b\x85c.\nd" == licences.normalize(space)
 
 
+def test_white_space_of_every_character(spark):
+    """Java's own pattern names the characters that the common one names."""
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x10100))]
+    found = spark.createDataFrame([(f"a{c}b", f"a {c}{c}") for c in every], "x string, y string").select(X.normalize(F.col("x")), X.normalize(F.col("y"))).collect()
+    assert [tuple(r) for r in found] == [(licences.normalize(f"a{c}b"), licences.normalize(f"a {c}{c}")) for c in every]
+
+
 def test_diff_functions_equal_core(spark):
     pairs = [p for p in TEXTS if None not in p] + [("The quick brown fox. " * 9, "The slow brown dog. " * 9)]
     df = spark.createDataFrame(pairs, "a string, b string").withColumn("d", D.diff(F.col("a"), F.col("b")))
